@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from weirstone.operators import grid, late, spikes
+from weirstone.operators import compact, grid, late, spikes
 from weirstone.shared import table
 
 
@@ -28,4 +28,12 @@ def p3_hourly(spark: SparkSession, folder: str) -> DataFrame:
     return late.p3_hourly(*(table(spark, folder, t) for t in ("samples", "stations", "windows", "pipelines")))
 
 
-QUERIES = {f.__name__: f for f in (p1_found, p1_grid, p2_found, p3_found, p3_hourly)}
+def p5_found(spark: SparkSession, folder: str) -> DataFrame:
+    return compact.p5_found(table(spark, folder, "commits"))
+
+
+def p5_compact(spark: SparkSession, folder: str) -> DataFrame:
+    return compact.compact(table(spark, folder, "commits"), table(spark, folder, "windows"))
+
+
+QUERIES = {f.__name__: f for f in (p1_found, p1_grid, p2_found, p3_found, p3_hourly, p5_found, p5_compact)}

@@ -8,7 +8,7 @@ whatever they are called. Empty tables give empty results.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from weirstone.shared import dimension
@@ -49,14 +49,9 @@ def instant_us(text: Column, utc_offset: Column) -> Column:
 
 def station_dim(stations: DataFrame) -> DataFrame:
     """One row per station, the one of the highest seq: sid INT (that seq), station, skey, pipeline, interval_s, utc_offset."""
-    latest = Window.partitionBy("station_id").orderBy(F.col("seq").desc())
-    return (
-        stations.select("seq", "station_id", "pipeline", "interval_s", "utc_offset")
-        .where("station_id is not null")
-        .withColumn("_rn", F.row_number().over(latest))
-        .where("_rn = 1")
-        .select(F.col("seq").cast("int").alias("sid"), F.col("station_id").alias("station"), station_key(F.col("station_id")).alias("skey"), "pipeline", "interval_s", "utc_offset")
-    )
+    row = F.max_by(F.struct("seq", "pipeline", "interval_s", "utc_offset"), "seq").alias("r")
+    latest = stations.where("station_id is not null").groupBy("station_id").agg(row)
+    return latest.select(F.col("r.seq").cast("int").alias("sid"), F.col("station_id").alias("station"), station_key(F.col("station_id")).alias("skey"), "r.pipeline", "r.interval_s", "r.utc_offset")
 
 
 def _stationed(samples: DataFrame, stations: DataFrame) -> DataFrame:
