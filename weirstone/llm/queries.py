@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from weirstone.llm import history, quantiles
+from weirstone.llm import bpe, history, mix, quantiles
 from weirstone.shared import table
 
 
@@ -28,4 +28,20 @@ def p6_accepted(spark: SparkSession, folder: str) -> DataFrame:
     return history.p6_accepted(*_tables(spark, folder, "samples", "stations"))
 
 
-QUERIES = {f.__name__: f for f in (p4_percentiles, p4_combined, p6_found, p6_accepted)}
+def p7_ids(spark: SparkSession, folder: str) -> DataFrame:
+    return bpe.p7_ids(*_tables(spark, folder, "documents"))
+
+
+def p8_found(spark: SparkSession, folder: str) -> DataFrame:
+    return mix.p8_found(*_tables(spark, folder, "documents", "mix_targets"))
+
+
+def p8_mix(spark: SparkSession, folder: str) -> DataFrame:
+    return mix.p8_mix(*_tables(spark, folder, "documents", "mix_targets"))
+
+
+def p8_shares(spark: SparkSession, folder: str) -> DataFrame:
+    return mix.p8_shares(*_tables(spark, folder, "documents", "mix_targets"))
+
+
+QUERIES = {f.__name__: f for f in (p4_percentiles, p4_combined, p6_found, p6_accepted, p7_ids, p8_found, p8_mix, p8_shares)}
