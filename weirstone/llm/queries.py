@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from weirstone.llm import bpe, history, mix, quantiles
+from weirstone.llm import bpe, history, mix, quantiles, sentences
 from weirstone.shared import table
 
 
@@ -44,4 +44,8 @@ def p8_shares(spark: SparkSession, folder: str) -> DataFrame:
     return mix.p8_shares(*_tables(spark, folder, "documents", "mix_targets"))
 
 
-QUERIES = {f.__name__: f for f in (p4_percentiles, p4_combined, p6_found, p6_accepted, p7_ids, p8_found, p8_mix, p8_shares)}
+def p9_found(spark: SparkSession, folder: str) -> DataFrame:
+    return sentences.p9_found(*_tables(spark, folder, "documents"))
+
+
+QUERIES = {f.__name__: f for f in (p4_percentiles, p4_combined, p6_found, p6_accepted, p7_ids, p8_found, p8_mix, p8_shares, p9_found)}
