@@ -33,16 +33,19 @@ _TITLES = frozenset(TITLES.split())
 #: Month names after a figure with a point, as in a German date.
 _MONTHS = frozenset("januar februar märz april mai juni juli august september oktober november dezember".split())
 _REPORTS = frozenset("asked said shouted whispered replied cried answered muttered called added explained insisted".split())
-_MARKS = "[.!?…。！？।؟]"
-_EVENT = re.compile(r"(?:[.!?…。！？।؟]+|(?<=[\w)]);)|[\"“”«»„「」『』]|(?<=\w)[—–-](?=[\s\x00\x1d\x1e]*[\r\n\x1e\x1d]|[\s\x00]*$|[\s\x00]+[^\W\d_a-zа-яё])|\x1d|\x1e")
-_EVENT_GAPS = re.compile(_EVENT.pattern + r"|[ \t　\xa0]+|[\r\n]+")
+_EVENT = re.compile("[.!?…。！？।؟;\"“”«»„「」『』—–\\-\x1d\x1e]")
+_EVENT_GAPS = re.compile("[.!?…。！？।؟;\"“”«»„「」『』—–\\-\x1d\x1e \t\u3000\xa0\r\n]")
+_BROKEN_OFF = re.compile(r"[—–-](?=[\s\x00\x1d\x1e]*[\r\n\x1e\x1d]|[\s\x00]*$|[\s\x00]+[^\W\d_a-zа-яё])")
 _SKIP = re.compile(r"[\s\x00\x1d\x1e]*")
-_WORD = re.compile(r"[^\s\x00\x1d\x1e(«“\"„‘'’!?,:]+$")
 _NOSPACE = re.compile("[฀-๿぀-ヿ一-鿿]")
+_STOP = frozenset(" \t\r\n\xa0\u202f\u3000\x00\x1d\x1e(«“\"„‘’'!?,:")
+_MARK_SET = frozenset(".!?…。！？।؟")
+_KIND = {".": ".", "!": "!", "?": "?", "。": "。", "！": "!", "？": "?", "।": "।", "؟": "?", "…": "…"}
+_INNER = re.compile(r"[^\W\d_]{2}[.!?।؟][ \r\n]+[^\W\d_a-zа-яёα-ω]")
 _GREEK = re.compile("[Ͱ-Ͽ]")
 _ALNUM = re.compile(r"[^\W_]")
 _CLOSER = re.compile("[\\s\x00\xa0 ]*([\"”»“」』])")
-_ENDED = re.compile(_MARKS + "[\"”»“」』\\s\x00]*$|;[\\s\x00]*$")
+_BLANK = "\x00 \t\r\n\u3000\x1e\x1d\xa0"
 _FOLD = str.maketrans("01cI", "olel")
 
 
@@ -53,16 +56,21 @@ class Candidate:
         self.at, self.end, self.key, self.features, self.label = at, end, key, features, False
 
 
+def _ends_marked(s: str) -> bool:
+    t = s.rstrip("\x00 \r\n\t\xa0\"”»“」』")
+    return t[-1:] in _MARK_SET or (t[-1:] == ";" and len(t) == len(s.rstrip("\x00 \r\n\t")))
+
+
 def _regime(s: str) -> str:
     cues = [c for c in s.split(CUE) if _ALNUM.search(c)]
     if not cues:
         return "P"
-    letters = len(_ALNUM.findall(s))
-    if len(_NOSPACE.findall(s)) > 0.3 * letters:
+    if _NOSPACE.search(s) and len(_NOSPACE.findall(s)) > 0.3 * len(_ALNUM.findall(s)):
         return "P" if len(re.findall("[。！？]", s)) >= 0.3 * len(cues) else "N"
-    ended = sum(1 for c in cues if _ENDED.search(c.rstrip("\x00 \r\n\t")))
-    inner = sum(len(re.findall(r"[^\W\d_]{2}[.!?।؟][ \r\n]+[^\W\d_a-zа-яёα-ω]", c)) for c in cues)
-    return "U" if ended < 0.4 * len(cues) and inner <= 0.12 * len(cues) else "P"
+    if sum(map(_ends_marked, cues)) >= 0.4 * len(cues):
+        return "P"
+    inner = sum(len(_INNER.findall(c)) for c in cues)
+    return "U" if inner <= 0.12 * len(cues) else "P"
 
 
 def _case(ch: str) -> str:
@@ -81,8 +89,10 @@ def _case(ch: str) -> str:
 
 def _before(s: str, at: int) -> tuple[str, str]:
     """Class of the token that ends at `at`, and the token."""
-    m = _WORD.search(s, max(0, at - 16), at)
-    word = m[0] if m else ""
+    k, least = at, max(0, at - 16)
+    while k > least and s[k - 1] not in _STOP:
+        k -= 1
+    word = s[k:at]
     low = word.lower().rstrip(".")
     if not word:
         return "none", ""
@@ -114,10 +124,9 @@ def candidates(s: str, regime: str) -> list[Candidate]:
     greek = bool(_GREEK.search(s))
     replaced = "�" in s
     for m in events.finditer(s):
-        i, tok = m.start(), m[0]
+        i, c = m.start(), m[0]
         if i < taken:
             continue
-        c = tok[0]
         if c in "\"“”«»„「」『』":
             if quote and (c in "”»」』" or (c == "“" and quote in "„“") or (c == '"' and quote == '"')):
                 if c == "“" and quote == "“":
@@ -130,41 +139,48 @@ def candidates(s: str, regime: str) -> list[Candidate]:
             continue
         if quote and i - opened > 400:
             quote = ""
-        end = m.end()
+        end = i + 1
         if c == TURN or c == CUE:
             kind = "turn" if c == TURN else "cue"
-            j = len(s[:i].rstrip("\x00 \t\r\n　\x1e\x1d\xa0")) if i else 0
+            least = max(0, i - 120)
+            j = least + len(s[least:i].rstrip(_BLANK))
+            if j == least:
+                j = len(s[:i].rstrip(_BLANK))
             if c == TURN:
                 quote = ""
             if j <= 0 or (out and out[-1].end >= j and out[-1].key[0] != "cue"):
                 if c == TURN and out and out[-1].end >= j:
                     out[-1] = _make(out[-1].at, out[-1].end, regime, (*out[-1].key[:4], "turn", *out[-1].key[5:]), out[-1].features[-1])
                 continue
-            nxt = _case(s[_SKIP.match(s, end).end() :][:1])
+            j2 = _SKIP.match(s, end).end()
+            nxt = _case(s[j2 : j2 + 1])
             out.append(_make(i, j, regime, (kind, "none", nxt, "q" if quote else "", kind, "", ""), ""))
             continue
         if c.isspace():
             j = _SKIP.match(s, i).end()
             prev, nxt = s[i - 1 : i], s[j : j + 1]
             span = s[i:j]
-            if not prev or prev in (NUL, CUE, TURN) or not nxt or CUE in span or TURN in span:
+            if not prev or prev.isspace() or prev in (NUL, CUE, TURN) or not nxt or CUE in span or TURN in span:
                 continue
             line = "\n" in span or "\r" in span
             figures = not line and (prev.isdigit() or nxt.isdigit())
             out.append(_make(i, i, regime, ("line" if line else "gap", "figure" if figures else "none", _case(nxt), "q" if quote else "", "line" if line else "", "", ""), ""))
             continue
         if c == ";":
-            if not greek:
+            if not greek or not (s[i - 1 : i].isalnum() or s[i - 1 : i] in ("_", ")")):
                 continue
             kind = "?"
         elif c in "—–-":
             kind = "dash"
+            if not s[i - 1 : i].isalnum() or not _BROKEN_OFF.match(s, i):
+                continue
             if c == "-" and not re.match(r"[\s\x00]*[\r\n\x1e\x1d]|[\s\x00]*$", s[end : end + 40]):
                 continue
-        elif "…" in tok or tok.startswith(".."):
-            kind = "…"
         else:
-            kind = {".": ".", "!": "!", "?": "?", "。": "。", "！": "!", "？": "?", "।": "।", "؟": "?"}[tok[-1]]
+            while s[end : end + 1] in _MARK_SET and end < len(s):
+                end += 1
+            tok = s[i:end]
+            kind = "…" if "…" in tok or tok.startswith("..") else _KIND[tok[-1]]
         closed = ""
         if quote:
             q = _CLOSER.match(s, end)
@@ -188,7 +204,7 @@ def candidates(s: str, regime: str) -> list[Candidate]:
             cls = "date"
         report = ("intro" if introduced else "start") + ("-reported" if not introduced and _reported(s, j) else "") if closed else ""
         out.append(_make(i, end, regime, (kind, cls, case, "q" if quote else "", brk, closed, report), word))
-    last = len(s.rstrip("\x00 \t\r\n　\x1e\x1d\xa0"))
+    last = len(s.rstrip(_BLANK))
     if last and (not out or out[-1].end < last):
         out.append(_make(last, last, regime, ("end", "none", "end", "", "end", "", ""), ""))
     elif out and out[-1].end >= last:
@@ -251,15 +267,15 @@ def _convention(regime: str, key: tuple) -> bool:
     return case != "comma"
 
 
-def viterbi(found: list[Candidate], weights: dict[str, float]) -> list[bool]:
-    """The best tags of a chain of candidates; weights hold features of the tag boundary and `t=` transitions."""
+def viterbi(found: list[Candidate], weights: dict[str, float], memo: dict | None = None) -> list[bool]:
+    """The best tags of a chain of candidates; weights hold features of the tag boundary and `t=` transitions. memo: sums by features, while weights stay."""
     same, turn = weights.get("t=11", 0.0), weights.get("t=01", 0.0)
-    get = weights.get
+    get, memo = weights.get, {} if memo is None else memo
     in_, out_, back = 0.0, 0.0, []
     for n, c in enumerate(found):
-        u = 0.0
-        for f in c.features[:-1]:
-            u += get(f, 0.0)
+        u = memo.get(id(c.features))
+        if u is None:
+            u = memo[id(c.features)] = sum(get(f, 0.0) for f in c.features[:-1])
         if n == 0:
             in_, out_ = 0.0, u
             back.append((False, False))
@@ -311,7 +327,7 @@ def weights() -> dict[str, float]:
     return _loaded
 
 
-def sentence_ends(text: str | None, model: dict[str, float] | None = None) -> list[int]:
+def sentence_ends(text: str | None, model: dict[str, float] | None = None, memo: dict | None = None) -> list[int]:
     """Offsets just after the last character of each sentence, ascending."""
     if not text or not text.strip():
         return []
@@ -320,7 +336,7 @@ def sentence_ends(text: str | None, model: dict[str, float] | None = None) -> li
     s, ads = spoken(right[0] if right else text)
     found = candidates(s, _regime(s))
     ends, start = set(ads), 0
-    for c, boundary in zip(found, viterbi(found, model)):
+    for c, boundary in zip(found, viterbi(found, model, memo)):
         if boundary and c.end > start and _ALNUM.search(s, start, c.end):
             ends.add(c.end)
             start = c.end
@@ -333,10 +349,11 @@ def boundaries(documents: DataFrame) -> DataFrame:
     model = weights()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        memo: dict = {}
         for batch in batches:
             ids, ends = [], []
             for doc, text in zip(batch["doc_id"].to_pylist(), batch["text"].to_pylist()):
-                e = sentence_ends(text, model)
+                e = sentence_ends(text, model, memo)
                 ends += e
                 ids += [doc] * len(e)
             yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(ends, pa.int64())], names=["doc_id", "end_pos"])

@@ -13,11 +13,12 @@ NUL, CUE, TURN = "\x00", "\x1e", "\x1d"
 _TIME = re.compile(r"(?:(?<=[\n\r])|^)[﻿ \t]*(?:\d+[ \t]*(?:\r\n|\n|\r)[ \t]*)?\d+:\d\d(?::\d\d)?[.,]\d+[ \t]*[-=]+>[ \t]*\d+:\d\d(?::\d\d)?[.,]\d+[^\r\n]*")
 _MARKUP = re.compile(r"</?[A-Za-z][^<>\r\n]*>|\{\\[^{}\r\n]*\}")
 _SOUND = re.compile(r"\[[^\[\]\r\n]*\]|\{[^{}\r\n]*\}|＜[^＜＞\r\n]*＞|（[^（）\r\n]*）|\*[^*\r\n]+\*|\([^()\r\n]*[.!?…]\)|\((?=[A-Z])[A-Z' ]+\)")
-_SONG = re.compile(r"[♪♫#][^♪♫\r\n]*[♪♫#]|[♪♫]")
+_SONG = re.compile(r"[♪♫][^♪♫\r\n]*[♪♫]|[♪♫]")
 _LEADING = re.compile(r"(?m)^([\x00\x1e \t]*(?:[-–—][ \t]*)?(?:[A-Z][A-Z0-9 #.'-]*:[ \t]*)?)(\([^()\r\n]*\))")
 _SPEAKER = re.compile(r"(?m)^([\x00\x1e \t]*(?:[-–—][\x00 \t]*)?)((?:[^\W\d_a-z][A-Z0-9 #.'’-]*[A-Z0-9]):)(?=[ \t\x00])")
 _DASH = re.compile(r"(?m)^[\x00\x1e \t]*(?:([-–])|(—)(?=[\x00 \t]*[^\W\d_a-zа-яё]))")
 _ADVERT = re.compile(r"(?i)https?://|www\.|[\w.-]+@[\w-]+\.\w+|\b[\w-]+\.(?:invalid|example|com|net|org)\b|subtitles by |sync and corrections|downloaded from|ripped by|advertise your product|get more subtitles|support us:")
+_ADVERT_HINTS = ("http", "www.", "@", ".invalid", ".example", ".com", ".net", ".org", "subtitles", "corrections", "downloaded", "ripped", "advertise", "support us")
 _SINGLE = {c: bytes([c]).decode("cp1252", "replace") for c in range(256)}
 _BACK = {ch: c for c, ch in _SINGLE.items() if ch != "�"} | {chr(c): c for c in range(256) if _SINGLE[c] == "�" or c < 128}
 _MISREAD = re.compile("[Â-ô][\u0080-¿ŒœŠšŸŽžƒˆ˜–-›€™]")
@@ -25,7 +26,7 @@ _MISREAD = re.compile("[Â-ô][\u0080-¿ŒœŠšŸŽžƒˆ˜–-›€™]")
 
 def reread(text: str) -> tuple[str, list[int]] | None:
     """A text whose UTF-8 was read as a one-byte encoding, read rightly, and the end of each of its characters in `text`; None if it isn't one."""
-    if len(_MISREAD.findall(text)) < 3:
+    if text.isascii() or len(_MISREAD.findall(text)) < 3:
         return None
     raw = bytearray()
     for ch in text:
@@ -54,18 +55,27 @@ def spoken(text: str) -> tuple[str, list[int]]:
     if n:
         head = s.index(CUE)
         s = NUL * head + s[head:]
-    s = _MARKUP.sub(_blank, s)
+    if "<" in s or "{" in s:
+        s = _MARKUP.sub(_blank, s)
     ads: list[int] = []
-    if _ADVERT.search(s):
+    low = s.lower()
+    if any(k in low for k in _ADVERT_HINTS):
         cues = s.split(CUE)
         at = 0
         for k, cue in enumerate(cues):
             if _ADVERT.search(cue):
-                ads.append(at + len(cue.rstrip("\x00 \t\r\n　")))
+                ads.append(at + len(cue.rstrip("\x00 \t\r\n\u3000")))
                 cues[k] = re.sub(r"[^\r\n]", NUL, cue)
             at += len(cue) + 1
         s = CUE.join(cues)
-    s = _SONG.sub(_blank, _SOUND.sub(_blank, s))
-    s = _LEADING.sub(lambda m: m[1] + NUL * len(m[2]), s)
-    s = _SPEAKER.sub(lambda m: m[1] + NUL * len(m[2]), s)
-    return _DASH.sub(lambda m: m[0][:-1] + TURN, s), ads
+    if any(k in s for k in "[{(*＜（"):
+        s = _SOUND.sub(_blank, s)
+    if "♪" in s or "♫" in s:
+        s = _SONG.sub(_blank, s)
+    if "(" in s:
+        s = _LEADING.sub(lambda m: m[1] + NUL * len(m[2]), s)
+    if ":" in s:
+        s = _SPEAKER.sub(lambda m: m[1] + NUL * len(m[2]), s)
+    if "-" in s or "–" in s or "—" in s:
+        s = _DASH.sub(lambda m: m[0][:-1] + TURN, s)
+    return s, ads
