@@ -76,7 +76,7 @@ def _spans(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
 
 def hourly(samples: DataFrame, stations: DataFrame, windows: DataFrame, pipelines: DataFrame) -> DataFrame:
     """One row per station (sid) and period with at least one usable reading, late or not."""
-    ends = dimension(windows.select("window_id", F.floor(F.unix_micros(F.col("window_end").cast("timestamp")) / 1e6).alias("arrived")).dropDuplicates(["window_id"]))
+    ends = dimension(windows.select("window_id", F.ceil(F.timestamp_diff("MICROSECOND", F.lit("1970-01-01 00:00:00").cast("timestamp_ntz"), F.col("window_end").cast("timestamp_ntz")) / 1e6).alias("arrived")).dropDuplicates(["window_id"]))
     rules = dimension(pipelines.select("pipeline", "grace_s", "cutoff_s").dropDuplicates(["pipeline"]))
     rows = readable(samples, stations).select("sid", "pipeline", "t_us", "sample_id", "value", "window_id")
     rows = with_halo(rows, SPAN_US, WITHIN_US).repartition("sid", "shard")

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from weirstone.operators import compact, grid, late, spikes
+from weirstone.plans.reading_sql import READINGS, REPEATS
 from weirstone.shared import table
 
 
@@ -37,3 +38,15 @@ def p5_compact(spark: SparkSession, folder: str) -> DataFrame:
 
 
 QUERIES = {f.__name__: f for f in (p1_found, p1_grid, p2_found, p3_found, p3_hourly, p5_found, p5_compact)}
+
+_HOURS = f"""select *, us // 3600000000 * 3600 as h from r where us is not null and value is not null and sample_id not in {REPEATS}"""
+
+ORACLES = {
+    "p1_found": f"""with {READINGS}, u as (select distinct station_id, interval_s, us // (interval_s::bigint * 1000000) as slot from r where us is not null and value is not null),
+        g as (select station_id, interval_s, slot, lead(slot) over (partition by station_id order by slot) as nxt from u)
+        select station_id, cast(unnest(range(slot + 1, nxt)) * interval_s as bigint) as slot_start from g where nxt > slot + 1""",
+    "p3_found": f"""with {READINGS}, q as (select a.station_id, a.h, epoch_us(w.window_end) / 1e6 - a.h - 3600 as lag, p.grace_s, p.cutoff_s from ({_HOURS}) a join windows w using (window_id) join pipelines p on p.pipeline = a.pipeline)
+        select distinct station_id, cast(h as bigint) as period_start, case when lag > cutoff_s then 'cut_off' else 'corrected' end as status from q where lag > grace_s""",
+    "p5_found": """with l as (select commit_id, unnest(string_split(decode(content), chr(10))) as line from commits where status = 200), v as (select distinct commit_id, cast(line ->> '$.sample_id' as bigint) as sample_id from l where json_valid(line))
+        select distinct a.commit_id as commit_a, b.commit_id as commit_b from v a join v b on a.sample_id = b.sample_id and a.commit_id < b.commit_id""",
+}
