@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from weirstone.llm import bpe, history, mix, quantiles, sentences
+from weirstone.plans.reading_sql import READINGS, REPEATS
 from weirstone.shared import table
 
 
@@ -49,3 +50,10 @@ def p9_found(spark: SparkSession, folder: str) -> DataFrame:
 
 
 QUERIES = {f.__name__: f for f in (p4_percentiles, p4_combined, p6_found, p6_accepted, p7_ids, p8_found, p8_mix, p8_shares, p9_found)}
+
+ORACLES = {
+    "p4_percentiles": f"""with {READINGS}, v as (select station_id, value, row_number() over (partition by station_id order by value) as i, count(*) over (partition by station_id) as n from r where value is not null)
+        select station_id, q, n, value, cast(0 as bigint) as rank_error from v join (select unnest([0.05, 0.25, 0.5, 0.75, 0.95]::double[]) as q) on i = greatest(1, cast(ceil(q * n) as bigint))""",
+    "p6_found": f"with {READINGS} select sample_id from {REPEATS} x",
+    "p6_accepted": f"with {READINGS} select window_id, count(*) as n_rows, count(x.sample_id) as n_repeats from samples s left join {REPEATS} x on x.sample_id = s.sample_id group by window_id",
+}
