@@ -102,6 +102,11 @@ def compact(commits: DataFrame, windows: DataFrame, target: str | None = None, t
     """
     spark = commits.sparkSession
     target = target or shared_path(spark, "compacted")
+    path_of = spark._jvm.org.apache.hadoop.fs.Path
+    staging = target.rstrip("/") + ".staging"
+    fs = path_of(staging).getFileSystem(spark._jsc.hadoopConfiguration())
+    if fs.exists(path_of(target)):
+        raise RuntimeError(f"{target} exists")
     plan = written(packed(manifest(commits, windows), target_bytes), "bins")
     lost = shared_records(commits).select("sample_id", F.explode(F.expr("slice(files, 2, size(files))")).alias("commit_id"))
     lost = written(lost, "owners")
@@ -110,19 +115,17 @@ def compact(commits: DataFrame, windows: DataFrame, target: str | None = None, t
     line = _lines(moved, "commit_id", "pipeline", "bin").select("commit_id", "pipeline", "bin", F.from_json("line", RECORD).alias("r"))
     records = line.select("commit_id", "pipeline", "bin", F.expr("try_cast(r.sample_id as bigint)").alias("sample_id"), "r.station_id", "r.timestamp", "r.value").where("sample_id is not null")
     records = records.join(dimension(lost), ["sample_id", "commit_id"], "left_anti").dropDuplicates(["pipeline", "bin", "commit_id", "sample_id"])
-    staging = target.rstrip("/") + ".staging"
     out = records.select("sample_id", "station_id", "timestamp", "value", "pipeline", "bin")
     out.write.mode("errorifexists").option("compression", "zstd").partitionBy("pipeline", "bin").parquet(staging)
     back = spark.read.schema(out.schema).parquet(staging)
     seen = back.agg(F.count("*").alias("n"), F.countDistinct("sample_id").alias("d"), F.sum(F.xxhash64("sample_id").cast("decimal(38,0)")).alias("c")).first()
     owed = occurrences(commits).distinct().join(lost, ["sample_id", "commit_id"], "left_anti").agg(F.count("*").alias("n"), F.sum(F.xxhash64("sample_id").cast("decimal(38,0)")).alias("c")).first()
     still = plan.join(stored(commits).select("commit_id", F.xxhash64("content").alias("now")), "commit_id", "left").where("now is null or now != checksum").limit(1).count()
-    fs_path = spark._jvm.org.apache.hadoop.fs.Path(staging)
-    fs = fs_path.getFileSystem(spark._jsc.hadoopConfiguration())
     if still or (seen["n"], seen["d"], seen["c"]) != (owed["n"], owed["n"], owed["c"]):
-        fs.delete(fs_path, True)
+        fs.delete(path_of(staging), True)
         raise RuntimeError(f"compaction differs from its manifest: {seen} written, {owed} owed, source changed: {bool(still)}")
-    if not fs.rename(fs_path, spark._jvm.org.apache.hadoop.fs.Path(target)):
+    if fs.exists(path_of(target)) or not fs.rename(path_of(staging), path_of(target)):  # renaming onto a folder would move into it
+        fs.delete(path_of(staging), True)
         raise RuntimeError(f"could not commit {target}: it exists or can't be renamed")
     counts = spark.read.schema(out.schema).parquet(target).groupBy("pipeline", "bin").agg(F.count("*").alias("n_records"), F.sum(F.xxhash64("sample_id").cast("decimal(38,0)")).alias("checksum"))
     sources = plan.groupBy("pipeline", "bin").agg(F.count("*").alias("n_files"), F.sum("bytes").alias("bytes_in"))

@@ -80,10 +80,10 @@ class _TickReader(SimpleDataSourceStreamReader):
 
     def read(self, start: dict) -> tuple[Iterator[tuple], dict]:
         end = max([start["next"], *(n + 1 for n in self._ticks())])
-        return self._rows(start["next"], end), {"next": end}
+        return iter(list(self._rows(start["next"], end))), {"next": end}
 
     def readBetweenOffsets(self, start: dict, end: dict) -> Iterator[tuple]:  # noqa: N802
-        return self._rows(start["next"], end["next"])
+        return iter(list(self._rows(start["next"], end["next"])))
 
     def commit(self, end: dict) -> None:
         pass
