@@ -55,6 +55,8 @@ def spoken(text: str) -> tuple[str, list[int]]:
     if n:
         head = s.index(CUE)
         s = NUL * head + s[head:]
+    else:
+        s = re.sub(r"^\ufeff?WEBVTT[^\r\n]*", _blank, s)
     if "<" in s or "{" in s:
         s = _MARKUP.sub(_blank, s)
     ads: list[int] = []
