@@ -20,7 +20,7 @@ _DASH = re.compile(r"(?m)^[\x00\x1e \t]*(?:([-–])|(—)(?=[\x00 \t]*[^\W\d_a-z
 _ADVERT = re.compile(r"(?i)https?://|www\.|[\w.-]+@[\w-]+\.\w+|\b[\w-]+\.(?:invalid|example|com|net|org)\b|subtitles by |sync and corrections|downloaded from|ripped by|advertise your product|get more subtitles|support us:")
 _ADVERT_HINTS = ("http", "www.", "@", ".invalid", ".example", ".com", ".net", ".org", "subtitles", "corrections", "downloaded", "ripped", "advertise", "support us")
 _SINGLE = {c: bytes([c]).decode("cp1252", "replace") for c in range(256)}
-_BACK = {ch: c for c, ch in _SINGLE.items() if ch != "�"} | {chr(c): c for c in range(256) if _SINGLE[c] == "�" or c < 128}
+_BACK = {ch: c for c, ch in _SINGLE.items() if ch != "�"} | {chr(c): c for c in range(160)}
 _MISREAD = re.compile("[Â-ô][\u0080-¿ŒœŠšŸŽžƒˆ˜–-›€™]")
 
 
