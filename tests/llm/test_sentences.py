@@ -73,6 +73,21 @@ def test_misread_text_counts_as_it_stands():
     assert S.sentence_ends(wrong) == [len(right[:e].encode()) for e in S.sentence_ends(right)]
 
 
+def test_other_misreadings():
+    right = srt("¡El espejo está vacío! Ñandú “uno” y “dos”.", "Está aquí. ¿Dónde?")
+    twice = right
+    for _ in range(2):
+        twice = "".join(bytes([b]).decode("cp1252") if b not in (0x81, 0x8D, 0x8F, 0x90, 0x9D) else chr(b) for b in twice.encode())
+    assert reread(twice)[0] == right
+    put_in = twice.replace("Est", "＜鐘の音＞ 👩 Est")
+    assert reread(put_in)[0].endswith(right[-12:])
+    for text, encoding in ((srt("Так. Ты тут? Я здесь. Чёрный чемодан."), "cp1251"), (srt("Είναι εδώ. Όχι! Ποτέ κοντά στο κανάλι."), "cp1253")):
+        wrong = text.encode(encoding).decode("latin-1")
+        assert reread(wrong) == (text, list(range(1, len(text) + 1)))
+        assert S.sentence_ends(wrong) == S.sentence_ends(text)
+    assert reread("Où est le café ? « Déjà là\xa0», répéta-t-il.") is None
+
+
 def test_viterbi_is_the_best_path():
     rng = random.Random(1)
     for _ in range(50):

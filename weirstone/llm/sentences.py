@@ -41,7 +41,8 @@ _NOSPACE = re.compile("[฀-๿぀-ヿ一-鿿]")
 _STOP = frozenset(" \t\r\n\xa0\u202f\u3000\x00\x1d\x1e(«“\"„‘’'!?,:")
 _MARK_SET = frozenset(".!?…。！？।؟")
 _KIND = {".": ".", "!": "!", "?": "?", "。": "。", "！": "!", "？": "?", "।": "।", "؟": "?", "…": "…"}
-_INNER = re.compile(r"[^\W\d_]{2}[.!?।؟][ \r\n]+[^\W\d_a-zа-яёα-ω]")
+_INNER = re.compile(r"(?:[^\W\d_]{5}[.]|[^\W\d_]{2}[!?।؟])[ \r\n]+[^\W\d_a-zа-яёα-ω]")
+_QUOTED = re.compile("[“«„「『\"][^”»“」』\"]*[”»“」』\"]")
 _GREEK = re.compile("[Ͱ-Ͽ]")
 _ALNUM = re.compile(r"[^\W_]")
 _CLOSER = re.compile("[\\s\x00\xa0 ]*([\"”»“」』])")
@@ -57,8 +58,9 @@ class Candidate:
 
 
 def _ends_marked(s: str) -> bool:
-    t = s.rstrip("\x00 \r\n\t\xa0\"”»“」』")
-    return t[-1:] in _MARK_SET or (t[-1:] == ";" and len(t) == len(s.rstrip("\x00 \r\n\t")))
+    """Whether speech ends with a bare end mark, not one inside a quotation."""
+    t = s.rstrip("\x00 \r\n\t\xa0")
+    return t[-1:] in _MARK_SET or t[-1:] == ";"
 
 
 def _regime(s: str) -> str:
@@ -67,10 +69,10 @@ def _regime(s: str) -> str:
         return "P"
     if _NOSPACE.search(s) and len(_NOSPACE.findall(s)) > 0.3 * len(_ALNUM.findall(s)):
         return "P" if len(re.findall("[。！？]", s)) >= 0.3 * len(cues) else "N"
-    if sum(map(_ends_marked, cues)) >= 0.4 * len(cues):
+    if sum(map(_ends_marked, cues)) >= 0.25 * len(cues):
         return "P"
-    inner = sum(len(_INNER.findall(c)) for c in cues)
-    return "U" if inner <= 0.12 * len(cues) else "P"
+    inner = sum(len(_INNER.findall(_QUOTED.sub("", c))) for c in cues)
+    return "U" if inner <= 0.1 * len(cues) else "P"
 
 
 def _case(ch: str) -> str:

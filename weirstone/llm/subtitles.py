@@ -21,28 +21,50 @@ _ADVERT = re.compile(r"(?i)https?://|www\.|[\w.-]+@[\w-]+\.\w+|\b[\w-]+\.(?:inva
 _ADVERT_HINTS = ("http", "www.", "@", ".invalid", ".example", ".com", ".net", ".org", "subtitles", "corrections", "downloaded", "ripped", "advertise", "support us")
 _SINGLE = {c: bytes([c]).decode("cp1252", "replace") for c in range(256)}
 _BACK = {ch: c for c, ch in _SINGLE.items() if ch != "�"} | {chr(c): c for c in range(160)}
-_MISREAD = re.compile("[Â-ô][\u0080-¿ŒœŠšŸŽžƒˆ˜–-›€™]")
+_REST = "".join(re.escape(ch) for ch, b in _BACK.items() if 0x80 <= b < 0xC0)
+_SEQUENCE = re.compile(f"[Â-ß][{_REST}]|[à-ï][{_REST}]{{2}}|[ð-ô][{_REST}]{{3}}")
+_HIGH = re.compile("[\u0080-ÿŒœŠšŸŽžƒˆ˜–-›€™]")
+_HIGH_LETTER = re.compile("[À-ÖØ-öø-ÿ]")
+_LETTER = re.compile(r"[^\W\d_]")
 
 
 def reread(text: str) -> tuple[str, list[int]] | None:
-    """A text whose UTF-8 was read as a one-byte encoding, read rightly, and the end of each of its characters in `text`; None if it isn't one."""
-    if text.isascii() or len(_MISREAD.findall(text)) < 3:
+    """A text that was decoded with a wrong encoding, read rightly, and the end of each of its characters in `text`; None if it wasn't.
+
+    Known cases: UTF-8 read as a Western one-byte encoding, and Cyrillic or Greek one-byte text read as that; what
+    doesn't fit (put in later) stays as it is.
+    """
+    if text.isascii():
         return None
-    raw = bytearray()
-    for ch in text:
-        b = _BACK.get(ch)
-        if b is None:
-            return None
-        raw.append(b)
-    try:
-        right = raw.decode("utf-8")
-    except UnicodeDecodeError:
+    high = len(_HIGH.findall(text))
+    if high < 3:
         return None
-    ends, at = [], 0
-    for ch in right:
-        at += len(ch.encode("utf-8"))
-        ends.append(at)
-    return right, ends
+    found = list(_SEQUENCE.finditer(text))
+    if len(found) >= 3 and sum(m.end() - m.start() for m in found) >= 0.8 * high:
+        out, ends, at = [], [], 0
+        for m in found:
+            out.append(text[at : m.start()])
+            ends += range(at + 1, m.start() + 1)
+            at = m.end()
+            raw = bytes(_BACK[ch] for ch in m[0])
+            try:
+                out.append(raw.decode("utf-8"))
+                ends.append(at)
+            except UnicodeDecodeError:
+                out.append(m[0])
+                ends += range(m.start() + 1, at + 1)
+        out.append(text[at:])
+        ends += range(at + 1, len(text) + 1)
+        again = reread("".join(out))  # some were misread twice
+        return (again[0], [ends[e - 1] for e in again[1]]) if again else ("".join(out), ends)
+    if len(_HIGH_LETTER.findall(text)) > 0.5 * len(_LETTER.findall(text)):
+        raw = bytes(_BACK.get(ch, 0x20) for ch in text)
+        try:
+            right = raw.decode("cp1253")
+        except UnicodeDecodeError:  # it has no letter where Cyrillic has two common ones
+            right = raw.decode("cp1251", "replace")
+        return "".join(r if ch in _BACK else ch for r, ch in zip(right, text)), list(range(1, len(text) + 1))
+    return None
 
 
 def _blank(m: re.Match) -> str:
