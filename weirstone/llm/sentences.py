@@ -41,7 +41,8 @@ _NOSPACE = re.compile("[฀-๿぀-ヿ一-鿿]")
 _STOP = frozenset(" \t\r\n\xa0\u202f\u3000\x00\x1d\x1e(«“\"„‘’'!?,:")
 _MARK_SET = frozenset(".!?…。！？।؟")
 _KIND = {".": ".", "!": "!", "?": "?", "。": "。", "！": "!", "？": "?", "।": "।", "؟": "?", "…": "…"}
-_INNER = re.compile(r"(?:[^\W\d_]{5}[.]|[^\W\d_]{2}[!?।؟])[ \r\n]+[^\W\d_a-zа-яёα-ω]")
+_INNER = re.compile(r"([^\W\d_]{2,})[.!?।؟][ \r\n]+[^\W\d_a-zа-яёα-ω]")
+_MISSEEN_I = re.compile(r"l(?:[tfnsl]?)(?![^\W\d_])")
 _QUOTED = re.compile("[“«„「『\"][^”»“」』\"]*[”»“」』\"]")
 _GREEK = re.compile("[Ͱ-Ͽ]")
 _ALNUM = re.compile(r"[^\W_]")
@@ -71,7 +72,7 @@ def _regime(s: str) -> str:
         return "P" if len(re.findall("[。！？]", s)) >= 0.3 * len(cues) else "N"
     if sum(map(_ends_marked, cues)) >= 0.25 * len(cues):
         return "P"
-    inner = sum(len(_INNER.findall(_QUOTED.sub("", c))) for c in cues)
+    inner = sum(w.lower() not in _TITLES for c in cues for w in _INNER.findall(_QUOTED.sub("", c)))
     return "U" if inner <= 0.1 * len(cues) else "P"
 
 
@@ -197,6 +198,8 @@ def candidates(s: str, regime: str) -> list[Candidate]:
         nxt = s[j : j + 1]
         cls, word = _before(s, i) if kind == "." else ("word", "")
         case = _case(nxt)
+        if nxt == "l" and _MISSEEN_I.match(s, j):
+            case = "upper"  # an I that character recognition took for an l
         if closed and nxt == "と":
             case = "to"
         if kind == "." and brk == "tight" and not closed and case != "end":
@@ -265,7 +268,7 @@ def _convention(regime: str, key: tuple) -> bool:
             return False
         if cls in ("no", "figure", "unit"):
             return case in ("upper", "open", "end", "caseless") if cls != "no" else case in ("upper", "open", "end")
-        return case not in ("lower", "comma")
+        return case != "comma" and (case != "lower" or brk == "cue")
     return case != "comma"
 
 

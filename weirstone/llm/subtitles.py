@@ -37,10 +37,12 @@ def reread(text: str) -> tuple[str, list[int]] | None:
     if text.isascii():
         return None
     high = len(_HIGH.findall(text))
-    if high < 3:
+    if high < 2:
         return None
     found = list(_SEQUENCE.finditer(text))
-    if len(found) >= 3 and sum(m.end() - m.start() for m in found) >= 0.8 * high:
+    whole = sum(m.end() - m.start() for m in found)
+    sure = whole >= 0.8 * high if len(found) >= 3 else whole == high and all(m[0][0] in "ÂÃâ" and "\xa0" not in m[0][1:] for m in found)
+    if found and sure:
         out, ends, at = [], [], 0
         for m in found:
             out.append(text[at : m.start()])
