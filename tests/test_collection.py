@@ -9,7 +9,7 @@ from pyspark.sql.types import DoubleType, LongType, StringType, StructField, Str
 from weirstone.commit import CommitAction
 from weirstone.model import DownstreamError, FlushPolicy, RejectedError, TeeError, WindowMeta, checked_name, object_path
 from weirstone.operators import dedupe, windows
-from weirstone.sinks import Buffered, DiskSpool, MemorySink, ParquetSink, Tee, landed
+from weirstone.sinks import Buffered, DiskSpool, MemorySink, ParquetSink, Tee, landed, tee_batch
 from weirstone.sources.collector import FunctionCollector, TickSource, load_config
 from weirstone.sources.spool import parsed, read_segments
 from weirstone.streaming.dedupe import consecutive_stream
@@ -289,6 +289,19 @@ def test_landing_to_parquet(spark, tmp_path):
     assert spark.read.parquet(str(tmp_path / "twice")).count() == 1  # a batch that runs again replaces itself
 
 
+def test_tee_batch(spark):
+    got, df = [], spark.range(3)
+
+    def bad(df, batch_id):
+        raise OSError("full")
+
+    with pytest.raises(TeeError) as e:
+        tee_batch(bad, lambda df, i: got.append((i, df.count())))(df, 7)
+    assert got == [(7, 3)] and isinstance(e.value.first, OSError) and e.value.second is None
+    tee_batch(lambda df, i: got.append(df.count()), lambda df, i: got.append(i))(df, 8)
+    assert got[1:] == [3, 8]
+
+
 def test_tick_source(spark, tmp_path):
     for i in range(3):
         (tmp_path / f"{i}.json").write_text(json.dumps({"v": i}))

@@ -11,6 +11,7 @@ from weirstone.operators import buffer, dedupe, reshape, stats, windows
 from weirstone.operators.dedupe import hour_of
 from weirstone.shared import shared_path, table
 from weirstone.sources.spool import parsed
+from weirstone.streaming.dedupe import consecutive_stream
 
 KEY = ("user_id", "event_type")
 FAILED = "tick % 7 = 3"
@@ -29,6 +30,23 @@ def dedupe_consecutive(spark: SparkSession, folder: str) -> DataFrame:
     return dedupe.consecutive(_ticked(spark, folder), KEY, position="event_id").select("event_id", "tick")
 
 
+def dedupe_streaming(spark: SparkSession, folder: str) -> DataFrame:
+    """The same through a stream: ticks land in four parts and are read one after the other, state in between."""
+    rows = _ticked(spark, folder).withColumnRenamed("event_id", "pos")
+    root = shared_path(spark, "stream")
+    ends = rows.agg(F.min("tick").alias("lo"), F.max("tick").alias("hi")).first()
+    for part in range(4 if ends["lo"] is not None else 0):
+        step = (ends["hi"] - ends["lo"]) // 4 + 1
+        low = ends["lo"] + part * step
+        rows.where((F.col("tick") >= low) & (F.col("tick") < low + step)).write.mode("append").parquet(f"{root}/in/{part}")
+    stream = spark.readStream.schema(rows.schema).parquet(f"{root}/in/*") if ends["lo"] is not None else None
+    if stream is None:
+        return rows.select(F.col("pos").alias("event_id"), "tick")
+    query = consecutive_stream(stream, KEY).writeStream.format("parquet").option("path", f"{root}/out").option("checkpointLocation", f"{root}/state").trigger(availableNow=True).start()
+    query.awaitTermination()
+    return spark.read.schema(rows.schema).parquet(f"{root}/out").select(F.col("pos").alias("event_id"), "tick")
+
+
 def dedupe_in_batch(spark: SparkSession, folder: str) -> DataFrame:
     return dedupe.first_in_batch(_ticked(spark, folder), ["tick", *KEY], "event_id").select("event_id", "tick")
 
@@ -198,7 +216,7 @@ def closed_windows(spark: SparkSession, folder: str) -> DataFrame:
 QUERIES = {
     f.__name__: f
     for f in (
-        dedupe_consecutive, dedupe_in_batch, dedupe_no_key, dedupe_with_failed_and_empty_ticks, window_assign, window_counts, buffered_segments, spool_segments, object_paths, path_collisions, last_writer_wins, flush_order,
+        dedupe_consecutive, dedupe_streaming, dedupe_in_batch, dedupe_no_key, dedupe_with_failed_and_empty_ticks, window_assign, window_counts, buffered_segments, spool_segments, object_paths, path_collisions, last_writer_wins, flush_order,
         lookup_join, flatten_nested, unpivot_regions, status_filter, tee_union, jsonl_round_trip, torn_lines, missing_field_skipped, parquet_round_trip, commit_payload, stats_summary, downsample_120, peak_point, duration_labels,
         valid_samples, backoff_schedule, scaled_values, tick_metrics, closed_windows,
     )
@@ -213,6 +231,7 @@ _B = f"(select tick, count(*) as n, row_number() over (order by tick) as i from
 
 ORACLES = {
     "dedupe_consecutive": f"select event_id, tick from {_KEPT} k",
+    "dedupe_streaming": f"select event_id, tick from {_KEPT} k",
     "dedupe_in_batch": f"select event_id, tick from {_ONCE} o",
     "dedupe_no_key": f"select event_id, tick from {_T} t",
     "dedupe_with_failed_and_empty_ticks": f"""
