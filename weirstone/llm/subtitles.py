@@ -36,10 +36,8 @@ def reread(text: str) -> tuple[str, list[int]] | None:
     """
     if text.isascii():
         return None
-    high = len(_HIGH.findall(text))
-    if high < 2:
-        return None
-    found = list(_SEQUENCE.finditer(text))
+    found = list(_SEQUENCE.finditer(text)) if _SEQUENCE.search(text) else []
+    high = len(_HIGH.findall(text)) if found else 0
     whole = sum(m.end() - m.start() for m in found)
     sure = whole >= 0.8 * high if len(found) >= 3 else whole == high and all(m[0][0] in "ÂÃâ" and "\xa0" not in m[0][1:] for m in found)
     if found and sure:
@@ -59,7 +57,8 @@ def reread(text: str) -> tuple[str, list[int]] | None:
         ends += range(at + 1, len(text) + 1)
         again = reread("".join(out))  # some were misread twice
         return (again[0], [ends[e - 1] for e in again[1]]) if again else ("".join(out), ends)
-    if len(_HIGH_LETTER.findall(text)) > 0.5 * len(_LETTER.findall(text)):
+    high = len(_HIGH_LETTER.findall(text))
+    if high > 0.1 * len(text) and high > 0.5 * len(_LETTER.findall(text)):
         raw = bytes(_BACK.get(ch, 0x20) for ch in text)
         try:
             right = raw.decode("cp1253")
