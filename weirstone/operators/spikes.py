@@ -88,8 +88,8 @@ def judge(t_us: np.ndarray, value: np.ndarray, season: np.ndarray, low: float, h
         r = (y - course) / unit
         moving = (y != 0) if showery else np.ones(len(y), bool)
         spread = 1.4826 * np.median(np.abs(r[moving])) if moving.any() else 0.0
-        quantum = np.diff(np.unique(y[:2000])) if not showery else np.array([])
-        spread = max(spread, 0.3 if showery else 0.05, 0.3 * float(np.min(quantum[quantum > 1e-6], initial=1e9)) if len(np.unique(v[use])) < 60 and len(quantum) and np.allclose(v[use], np.round(v[use])) else 0.0)
+        coarse = showery or np.array_equal(v[use], np.round(v[use]))
+        spread = max(spread, 0.3 if coarse else 0.05)
         q = r / spread
         calm = np.abs(q) <= WATCH
         before, after = _sides(y, calm)
