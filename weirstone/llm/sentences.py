@@ -68,7 +68,7 @@ def _regime(s: str) -> str:
     cues = [c for c in s.split(CUE) if _ALNUM.search(c)]
     if not cues:
         return "P"
-    if _NOSPACE.search(s) and len(_NOSPACE.findall(s)) > 0.3 * len(_ALNUM.findall(s)):
+    if not s.isascii() and _NOSPACE.search(s) and len(_NOSPACE.findall(s)) > 0.3 * len(_ALNUM.findall(s)):
         return "P" if len(re.findall("[。！？]", s)) >= 0.3 * len(cues) else "N"
     if sum(map(_ends_marked, cues)) >= 0.25 * len(cues):
         return "P"
@@ -124,7 +124,7 @@ def candidates(s: str, regime: str) -> list[Candidate]:
     quote, opened, introduced, fresh = "", 0, False, True
     events = _EVENT_GAPS if regime == "N" else _EVENT
     taken = 0
-    greek = bool(_GREEK.search(s))
+    greek = ";" in s and bool(_GREEK.search(s))
     replaced = "�" in s
     for m in events.finditer(s):
         i, c = m.start(), m[0]
