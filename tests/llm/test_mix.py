@@ -3,7 +3,7 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
-from weirstone.llm import mix
+from weirstone.llm import mix, queries
 
 TARGETS = "source string, target_share double, max_repeats int"
 
@@ -53,3 +53,22 @@ def test_short_sources_and_odd_rows(spark):
     assert mix.p8_found(d.limit(0), targets).count() == 0
     assert mix.p8_mix(d, targets).count() == 0  # an absent source can't fill any share
     assert {r["doc_id"]: r["copies"] for r in mix.mixed(mix.token_table(d), mix.demands(mix.token_table(d), targets, "all")).collect()}.get(2) == 1
+
+
+def test_registered_mix_is_as_large_as_all_documents(spark, tmp_path):
+    docs = [(i, "one two three four five six", "big" if i < 90 else "small") for i in range(100)]
+    spark.createDataFrame(docs, "doc_id bigint, text string, source string").write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame([("big", 0.6, 2), ("small", 0.3, 1), ("absent", 0.1, 5)], TARGETS).write.parquet(f"{tmp_path}/mix_targets.parquet")
+    shares = {r["source"]: r for r in queries.QUERIES["p8_shares"](spark, str(tmp_path)).collect()}
+    assert {s: r["copies"] for s, r in shares.items()} == {"big": 60, "small": 10, "absent": 0}  # of 100 documents
+    assert {s for s, r in shares.items() if r["short"]} == {"small", "absent"}
+    assert abs(shares["small"]["share"] - 1 / 7) < 1e-9 and shares["absent"]["share"] == 0
+    assert queries.QUERIES["p8_mix"](spark, str(tmp_path)).agg(F.sum("copies")).first()[0] == 70
+
+
+def test_fill_without_sources_of_no_capacity(spark):
+    tokens = _tokens(spark)
+    targets = spark.createDataFrame([("a", 0.5, 2), ("b", 0.3, 1), ("absent", 0.2, 9)], TARGETS)
+    assert {r["wanted"] for r in mix.demands(tokens, targets, "fill").collect()} == {0.0}
+    plan = {r["source"]: r for r in mix.demands(tokens, targets, "fill_present").collect()}
+    assert plan["a"]["wanted"] > 0 and not plan["a"]["short"] and not plan["b"]["short"] and plan["absent"]["short"]

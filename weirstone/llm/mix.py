@@ -7,9 +7,10 @@ documents ends with at most one fraction; these go up a reduction tree, `FANOUT`
 single one left, which is drawn. Each document's expected copies are what it wanted, and each source's number of copies
 is the wanted sum, rounded up or down. Draws depend on the seed and the blocks only, so a rerun gives the same mix.
 
-`size` is the mix's size in tokens; by default as large as all documents together or, if a source can't fill its share
-of that, the largest size at which all sources can. A larger size leaves the short sources at their cap. Defined
-results: sources match by lower case without outer blanks; documents of no or an unknown source aren't mixed but count
+`size` is the mix's size in tokens. "all", which the registered queries use, is as large as all documents together; a
+source that can't fill its share of that stays at its cap, is marked short, and the shares really reached are reported.
+"fill" is the largest size up to that at which every source fills its share, so nothing if one has no tokens;
+"fill_present" is the same without the sources of no capacity, which are marked short. Defined results: sources match by lower case without outer blanks; documents of no or an unknown source aren't mixed but count
 in the total; texts without tokens get no copies; a share of null or 0 wants nothing.
 """
 
@@ -64,15 +65,16 @@ def token_table(documents: DataFrame, vocabulary: str = VOCABULARY) -> DataFrame
 
 
 def demands(tokens: DataFrame, targets: DataFrame, size: float | str = "fill") -> DataFrame:
-    """Per target source: source, skey, target_share, max_repeats, tokens, docs, wanted, capacity, short, per_doc. size: tokens, "all" or "fill"."""
+    """Per target source: source, skey, target_share, max_repeats, tokens, docs, wanted, capacity, short, per_doc. size: tokens, "all", "fill" or "fill_present"."""
     have = tokens.groupBy("skey").agg(F.sum("tokens").alias("tokens"), F.count(F.when(F.col("tokens") > 0, 1)).alias("docs"))
     total = tokens.agg(F.sum("tokens")).first()[0] or 0
     t = targets.select("source", "target_share", "max_repeats").withColumn("skey", _key(F.col("source")))
     t = t.join(have, "skey", "left").fillna(0, ["tokens", "docs"])
     share, cap = F.coalesce("target_share", F.lit(0.0)), F.col("tokens") * F.coalesce("max_repeats", F.lit(1))
     t = t.withColumn("capacity", cap)
-    if size == "fill":
-        size = min(float(total), t.agg(F.min(F.when(share > 0, cap / share))).first()[0] or 0.0)
+    if size in ("fill", "fill_present"):
+        filled = share > 0 if size == "fill" else (share > 0) & (cap > 0)
+        size = min(float(total), t.agg(F.min(F.when(filled, cap / share))).first()[0] or 0.0)
     elif size == "all":
         size = float(total)
     t = t.withColumn("wanted", share * float(size)).withColumn("short", cap < F.col("wanted") * (1 - 1e-12))
@@ -120,14 +122,14 @@ def shares(mix: DataFrame, plan: DataFrame) -> DataFrame:
     return out.select("source", "target_share", (zero("mix_tokens") / F.col("mix_total")).alias("share"), zero("mix_tokens").alias("mix_tokens"), zero("copies").alias("copies"), zero("most_copies").alias("most_copies"), "max_repeats", "capacity", "wanted", "short")
 
 
-def p8_mix(documents: DataFrame, targets: DataFrame) -> DataFrame:
+def p8_mix(documents: DataFrame, targets: DataFrame, size: float | str = "fill") -> DataFrame:
     tokens = token_table(documents)
-    return mixed(tokens, demands(tokens, targets))
+    return mixed(tokens, demands(tokens, targets, size))
 
 
-def p8_shares(documents: DataFrame, targets: DataFrame) -> DataFrame:
+def p8_shares(documents: DataFrame, targets: DataFrame, size: float | str = "fill") -> DataFrame:
     tokens = token_table(documents)
-    plan = written(demands(tokens, targets), "demands")
+    plan = written(demands(tokens, targets, size), "demands")
     return shares(mixed(tokens, plan), plan)
 
 

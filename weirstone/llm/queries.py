@@ -38,11 +38,11 @@ def p8_found(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def p8_mix(spark: SparkSession, folder: str) -> DataFrame:
-    return mix.p8_mix(*_tables(spark, folder, "documents", "mix_targets"))
+    return mix.p8_mix(*_tables(spark, folder, "documents", "mix_targets"), size="all")
 
 
 def p8_shares(spark: SparkSession, folder: str) -> DataFrame:
-    return mix.p8_shares(*_tables(spark, folder, "documents", "mix_targets"))
+    return mix.p8_shares(*_tables(spark, folder, "documents", "mix_targets"), size="all")
 
 
 def p9_found(spark: SparkSession, folder: str) -> DataFrame:
