@@ -56,6 +56,17 @@ def test_adverts_are_whole_and_interrupt_nothing():
     assert text[: ends[0]].endswith("www.x.example!") and text[: ends[1]].endswith("quite empty.")
 
 
+@pytest.mark.parametrize("last, first", [("<i>“Is the map empty?” Jorun</i>", '<font color="#ffff00">asked.</font> It is.'), ("“Is the map empty?”", '<font color="#ffff00">Jorun asked.</font> It is.'), ("“Is the map empty?” Aldous", "[THUNDER ROLLS ABOVE THE HARBOUR GATE]\nFray shouted. It is.")])
+def test_reporting_clause_split_by_a_time_line(last, first):
+    got = units(srt(last, first))
+    assert len(got) == 2 and got[0].endswith(("asked.", "shouted.")) and got[1] == "It is."
+
+
+def test_what_follows_a_quotation_without_reporting_it():
+    got = units(srt("“The map is empty.” “Never again,” said Silquo, and", '<font color="#ffff00">sold the old bridge. Yes.</font>'))
+    assert got == ["“The map is empty.”", "“Never again,” said Silquo, and sold the old bridge.", "Yes."]
+
+
 def test_forms():
     vtt = "WEBVTT\n\n1\n00:01.000 --> 00:02.000 position:10%\nHello there. Bye!\n"
     assert [vtt[:e][-4:] for e in S.sentence_ends(vtt)] == ["ere.", "Bye!"]

@@ -48,6 +48,8 @@ _GREEK = re.compile("[Ͱ-Ͽ]")
 _ALNUM = re.compile(r"[^\W_]")
 _CLOSER = re.compile("[\\s\x00\xa0 ]*([\"”»“」』])")
 _BLANK = "\x00 \t\r\n\u3000\x1e\x1d\xa0"
+_RUN = re.compile("[^\x00]+")
+_CLAUSE_END = re.compile(r"[.!?…\x1d]")
 _FOLD = str.maketrans("01cI", "olel")
 
 
@@ -113,8 +115,14 @@ def _before(s: str, at: int) -> tuple[str, str]:
 
 
 def _reported(s: str, at: int) -> bool:
-    """Whether the words at `at` report the quotation before them."""
-    words = re.split(r"[.!?…\x1d]", s[at : at + 60].replace(NUL, "").replace(CUE, " "), maxsplit=1)[0].split()
+    """Whether the words at `at` report the quotation before them; blanked characters between them don't count, however many."""
+    said = ""
+    for run in _RUN.finditer(s, at):
+        part = _CLAUSE_END.split(run[0], maxsplit=1)
+        said += part[0]
+        if len(part) > 1 or len(said) > 400 or len(said.split()) > 6:
+            break
+    words = said.replace(CUE, " ").split()
     return 1 < len(words) <= 5 and any(w.lower().translate(_FOLD) in _REPORTS for w in words)
 
 
