@@ -4,6 +4,7 @@ import numpy as np
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
+from pyspark.sql import functions as F
 
 from weirstone.operators import compact
 
@@ -39,6 +40,21 @@ def test_every_record_once(spark, tmp_path):
     assert spark.read.parquet(target).count() == 5
 
 
+def test_whole_records_are_kept_and_verified(spark, tmp_path, monkeypatch):
+    lines = ['{"sample_id": 1, "station_id": "S1", "timestamp": "t", "value": 1.50, "replayed": true}', '{"value": "x", "note": {"a": [1]}, "sample_id": 2}']
+    content = "\n".join([*lines, '{"sample_id": 1, "station_id": "S2", "timestamp": "u", "value": 2.0}']).encode()
+    commits = spark.createDataFrame([(1, 1, "r", "main", "redacted", None, None, content, 200, None)], COMMITS)
+    compact.compact(commits, _windows(spark), str(tmp_path / "out"))
+    back = {r["sample_id"]: r for r in spark.read.parquet(str(tmp_path / "out")).collect()}
+    assert [back[i]["line"] for i in (1, 2)] == lines and (back[1]["station_id"], back[1]["value"]) == ("S1", 1.5)
+    right = spark.read.schema
+    changed = lambda s: type("R", (), {"parquet": lambda _, p: right(s).parquet(p).withColumn("value", F.col("value") + 1) if p.endswith(".staging") else right(s).parquet(p)})()
+    monkeypatch.setattr(type(spark.read), "schema", lambda self, s: changed(s))
+    with pytest.raises(RuntimeError):
+        compact.compact(commits, _windows(spark), str(tmp_path / "changed"))
+    assert not (tmp_path / "changed").exists()
+
+
 @settings(max_examples=100, deadline=None)
 @given(st.lists(st.integers(0, 120), max_size=60))
 def test_first_fit_decreasing(sizes):

@@ -5,10 +5,11 @@
    neighbouring windows, so that no task sees the whole manifest.
 3. `shared_records` finds the records that more than one file holds; the file with the least commit_id owns them.
 4. `compact` moves whole files (not records) to their bins, writes each bin's records once into a staging folder,
-   compares counts and checksums with what the manifest promised, and commits by one rename.
+   compares counts and checksums of whole records with what the manifest promised, and commits by one rename.
 
 Defined results: a record is a complete JSON line with a `sample_id`; blank and cut-off lines, empty and null content
-give none; a line that occurs twice in a file counts once; paths play no part, a file belongs to the pipeline of its
+give none; a record is kept as its original line, with all keys, beside the four columns read from it; of the lines of a
+record in one file the first counts; paths play no part, a file belongs to the pipeline of its
 window (null without one); extra columns are ignored.
 """
 
@@ -24,6 +25,7 @@ from weirstone.shared import dimension, shared_path, written
 TARGET_BYTES = 64 << 20
 CHUNK_BINS = 16
 CHUNK_FILES = 50_000
+WHOLE = ("sample_id", "station_id", "timestamp", "value", "line")
 RECORD = "sample_id string, station_id string, timestamp string, value double"
 
 
@@ -35,6 +37,13 @@ def _lines(files: DataFrame, *keep: str) -> DataFrame:
     return files.select(*keep, F.explode(F.split(F.col("content").cast("string"), "\n")).alias("line"))
 
 
+def records(files: DataFrame, *keep: str) -> DataFrame:
+    """keep, pos, sample_id, station_id, timestamp, value, line of every complete line."""
+    line = files.select(*keep, F.posexplode(F.split(F.col("content").cast("string"), "\n")).alias("pos", "line"))
+    line = line.select(*keep, "pos", "line", F.from_json("line", RECORD).alias("r"))
+    return line.select(*keep, "pos", F.expr("try_cast(r.sample_id as bigint)").alias("sample_id"), "r.station_id", "r.timestamp", "r.value", "line").where("sample_id is not null")
+
+
 def occurrences(commits: DataFrame) -> DataFrame:
     """sample_id, commit_id of every complete line."""
     of = F.from_json("line", "sample_id string")["sample_id"].try_cast("bigint")
@@ -112,14 +121,16 @@ def compact(commits: DataFrame, windows: DataFrame, target: str | None = None, t
     lost = written(lost, "owners")
     n_bins = max(1, plan.select("pipeline", "bin").distinct().count())
     moved = stored(commits).join(plan.select("commit_id", "pipeline", "bin"), "commit_id").repartition(n_bins, "pipeline", "bin")
-    line = _lines(moved, "commit_id", "pipeline", "bin").select("commit_id", "pipeline", "bin", F.from_json("line", RECORD).alias("r"))
-    records = line.select("commit_id", "pipeline", "bin", F.expr("try_cast(r.sample_id as bigint)").alias("sample_id"), "r.station_id", "r.timestamp", "r.value").where("sample_id is not null")
-    records = records.join(dimension(lost), ["sample_id", "commit_id"], "left_anti").dropDuplicates(["pipeline", "bin", "commit_id", "sample_id"])
-    out = records.select("sample_id", "station_id", "timestamp", "value", "pipeline", "bin")
+    kept = records(moved, "commit_id", "pipeline", "bin").join(dimension(lost), ["sample_id", "commit_id"], "left_anti")
+    kept = kept.groupBy("pipeline", "bin", "commit_id", "sample_id").agg(F.min_by(F.struct(*WHOLE[1:]), "pos").alias("r"))
+    out = kept.select("sample_id", "r.*", "pipeline", "bin")
     out.write.mode("errorifexists").option("compression", "zstd").partitionBy("pipeline", "bin").parquet(staging)
     back = spark.read.schema(out.schema).parquet(staging)
-    seen = back.agg(F.count("*").alias("n"), F.countDistinct("sample_id").alias("d"), F.sum(F.xxhash64("sample_id").cast("decimal(38,0)")).alias("c")).first()
-    owed = occurrences(commits).distinct().join(lost, ["sample_id", "commit_id"], "left_anti").agg(F.count("*").alias("n"), F.sum(F.xxhash64("sample_id").cast("decimal(38,0)")).alias("c")).first()
+    total = lambda h: F.sum(h.cast("decimal(38,0)"))
+    whole = F.xxhash64(*WHOLE)
+    seen = back.agg(F.count("*").alias("n"), F.countDistinct("sample_id").alias("d"), total(whole).alias("c")).first()
+    source = records(stored(commits), "commit_id").select("sample_id", "commit_id", "pos", whole.alias("h")).join(dimension(lost), ["sample_id", "commit_id"], "left_anti")
+    owed = source.groupBy("sample_id", "commit_id").agg(F.min_by("h", "pos").alias("h")).agg(F.count("*").alias("n"), total(F.col("h")).alias("c")).first()
     still = plan.join(stored(commits).select("commit_id", F.xxhash64("content").alias("now")), "commit_id", "left").where("now is null or now != checksum").limit(1).count()
     if still or (seen["n"], seen["d"], seen["c"]) != (owed["n"], owed["n"], owed["c"]):
         fs.delete(path_of(staging), True)
@@ -127,7 +138,7 @@ def compact(commits: DataFrame, windows: DataFrame, target: str | None = None, t
     if fs.exists(path_of(target)) or not fs.rename(path_of(staging), path_of(target)):  # renaming onto a folder would move into it
         fs.delete(path_of(staging), True)
         raise RuntimeError(f"could not commit {target}: it exists or can't be renamed")
-    counts = spark.read.schema(out.schema).parquet(target).groupBy("pipeline", "bin").agg(F.count("*").alias("n_records"), F.sum(F.xxhash64("sample_id").cast("decimal(38,0)")).alias("checksum"))
+    counts = spark.read.schema(out.schema).parquet(target).groupBy("pipeline", "bin").agg(F.count("*").alias("n_records"), total(whole).alias("checksum"))
     sources = plan.groupBy("pipeline", "bin").agg(F.count("*").alias("n_files"), F.sum("bytes").alias("bytes_in"))
     same = sources["pipeline"].eqNullSafe(counts["pipeline"]) & (sources["bin"] == counts["bin"])
     return sources.join(counts, same, "left").select(sources["pipeline"], sources["bin"], "n_files", "bytes_in", F.coalesce("n_records", F.lit(0)).alias("n_records"), F.col("checksum").cast("string").alias("checksum"))
