@@ -29,6 +29,12 @@ def test_pairs(spark):
     assert compact.p5_found(_commits(spark).limit(0)).count() == 0
 
 
+def test_pairs_come_from_a_compaction(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(compact, "shared_path", lambda _, name: str(tmp_path / name))
+    assert {tuple(r) for r in compact.p5_found(_commits(spark), _windows(spark)).collect()} == {(1, 2), (1, 3), (3, 8)}
+    assert sorted(r["sample_id"] for r in spark.read.parquet(str(tmp_path / "compacted")).collect()) == [1, 2, 3, 5, 9]
+
+
 def test_every_record_once(spark, tmp_path):
     target = str(tmp_path / "out")
     report = compact.compact(_commits(spark), _windows(spark), target, 300).collect()

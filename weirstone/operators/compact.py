@@ -57,9 +57,9 @@ def shared_records(commits: DataFrame) -> DataFrame:
     return often.groupBy("sample_id").agg(F.array_sort(F.collect_set("commit_id")).alias("files")).where("size(files) > 1")
 
 
-def overlapping_files(commits: DataFrame) -> DataFrame:
-    """commit_a < commit_b of files with a record in common. Equal sets of files are merged before pairs are made."""
-    sets = shared_records(commits).select("files").distinct()
+def overlapping_files(shared: DataFrame) -> DataFrame:
+    """shared: shared_records. commit_a < commit_b of files with a record in common. Equal sets of files are merged before pairs are made."""
+    sets = shared.select("files").distinct()
     i = F.posexplode("files").alias("i", "commit_a")
     firsts = sets.select("files", i)
     return firsts.select("commit_a", F.explode(F.expr("slice(files, i + 2, size(files))")).alias("commit_b")).distinct()
@@ -105,7 +105,12 @@ def packed(files: DataFrame, target_bytes: int = TARGET_BYTES) -> DataFrame:
 
 
 def compact(commits: DataFrame, windows: DataFrame, target: str | None = None, target_bytes: int = TARGET_BYTES) -> DataFrame:
-    """Writes the compacted files under `target` (a new folder) and gives the report: pipeline, bin, n_files, bytes_in, n_records, checksum.
+    """Writes the compacted files under `target` (a new folder) and gives the report: pipeline, bin, n_files, bytes_in, n_records, checksum."""
+    return compacted(commits, windows, target, target_bytes)[0]
+
+
+def compacted(commits: DataFrame, windows: DataFrame, target: str | None = None, target_bytes: int = TARGET_BYTES) -> tuple[DataFrame, DataFrame]:
+    """Compacts; the report of `compact`, and the shared_records whose ownership the run settled.
 
     Raises if what was written isn't what the manifest and the owners promise; then nothing is committed.
     """
@@ -117,8 +122,8 @@ def compact(commits: DataFrame, windows: DataFrame, target: str | None = None, t
     if fs.exists(path_of(target)):
         raise RuntimeError(f"{target} exists")
     plan = written(packed(manifest(commits, windows), target_bytes), "bins")
-    lost = shared_records(commits).select("sample_id", F.explode(F.expr("slice(files, 2, size(files))")).alias("commit_id"))
-    lost = written(lost, "owners")
+    shared = written(shared_records(commits), "owners")
+    lost = shared.select("sample_id", F.explode(F.expr("slice(files, 2, size(files))")).alias("commit_id"))
     n_bins = max(1, plan.select("pipeline", "bin").distinct().count())
     moved = stored(commits).join(plan.select("commit_id", "pipeline", "bin"), "commit_id").repartition(n_bins, "pipeline", "bin")
     kept = records(moved, "commit_id", "pipeline", "bin").join(dimension(lost), ["sample_id", "commit_id"], "left_anti")
@@ -141,8 +146,12 @@ def compact(commits: DataFrame, windows: DataFrame, target: str | None = None, t
     counts = spark.read.schema(out.schema).parquet(target).groupBy("pipeline", "bin").agg(F.count("*").alias("n_records"), total(whole).alias("checksum"))
     sources = plan.groupBy("pipeline", "bin").agg(F.count("*").alias("n_files"), F.sum("bytes").alias("bytes_in"))
     same = sources["pipeline"].eqNullSafe(counts["pipeline"]) & (sources["bin"] == counts["bin"])
-    return sources.join(counts, same, "left").select(sources["pipeline"], sources["bin"], "n_files", "bytes_in", F.coalesce("n_records", F.lit(0)).alias("n_records"), F.col("checksum").cast("string").alias("checksum"))
+    report = sources.join(counts, same, "left").select(sources["pipeline"], sources["bin"], "n_files", "bytes_in", F.coalesce("n_records", F.lit(0)).alias("n_records"), F.col("checksum").cast("string").alias("checksum"))
+    return report, shared
 
 
-def p5_found(commits: DataFrame) -> DataFrame:
-    return overlapping_files(commits)
+def p5_found(commits: DataFrame, windows: DataFrame | None = None) -> DataFrame:
+    """Pairs of files with a record in common, from a committed compaction; without windows, of files of no pipeline."""
+    if windows is None:
+        windows = commits.sparkSession.createDataFrame([], "window_id bigint, pipeline string")
+    return overlapping_files(compacted(commits, windows)[1])

@@ -30,7 +30,7 @@ def p3_hourly(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def p5_found(spark: SparkSession, folder: str) -> DataFrame:
-    return compact.p5_found(table(spark, folder, "commits"))
+    return compact.p5_found(table(spark, folder, "commits"), table(spark, folder, "windows"))
 
 
 def p5_compact(spark: SparkSession, folder: str) -> DataFrame:
