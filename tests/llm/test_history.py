@@ -46,3 +46,11 @@ def test_batches_one_by_one_and_again(spark):
         assert {r["sample_id"] for r in h.repeats(1).collect()} == {3, 4, 6}
     h.append(spark.createDataFrame([(1, 13_000_000, 3)], v), 1)  # a generation written again replaces itself
     assert [r["sample_id"] for r in h.repeats(1).collect()] == [3]
+
+
+def test_radius_of_several_cells(spark):
+    h = History(spark, radius_us=3 * CELL_US)
+    v = "sid int, t_us bigint, sample_id bigint"
+    h.append(spark.createDataFrame([(1, 1, 1), (2, 1, 2)], v), 0)
+    h.append(spark.createDataFrame([(1, 3 * CELL_US, 3), (2, 3 * CELL_US + 2, 4), (1, 5 * CELL_US, 5)], v), 1)
+    assert {r["sample_id"] for r in h.repeats(1).collect()} == {3, 5}

@@ -4,8 +4,8 @@ A reading is the vector (axis of its station, seconds since 1970); the axes of t
 search radius. Cells cut each axis into intervals of `CELL_US` and are known by their centroid and radius; the index is
 a folder of Parquet files by generation and span of cells that holds full vectors, not codes.
 
-A query probes the cell it lies in and goes on to the next one only while that cell's distance bound,
-max(0, |t - centroid| - radius), is within the search radius; beyond, no nearer match is possible. Probed vectors are
+A query probes the cell it lies in and goes on to the next ones only while their distance bound,
+max(0, |t - centroid| - radius), is within the search radius, however many cells that is; beyond, no nearer match is possible. Probed vectors are
 compared exactly. A batch is appended first and then probed against itself and what earlier generations have in the
 spans it touches, so neither step reads the history as a whole, and a repeated probe gives the same answer.
 
@@ -59,10 +59,9 @@ class History:
         return least.where("mine and core and least < sample_id").select("sample_id")
 
     def _probes(self, rows: DataFrame) -> DataFrame:
-        """Puts each vector into its own cell (core) and into the neighbours whose distance bound is within the radius."""
+        """Puts each vector into its own cell (core) and into all others whose distance bound is within the radius."""
         own = F.floor(F.col("t_us") / CELL_US)
-        bound = lambda c: F.greatest(F.lit(0.0), F.abs(F.col("t_us") - (c + 0.5) * CELL_US) - CELL_US / 2)
-        cells = F.filter(F.array(own - 1, own, own + 1), lambda c: bound(c) <= self.radius_us)
+        cells = F.sequence(F.floor((F.col("t_us") - self.radius_us) / CELL_US), F.floor((F.col("t_us") + self.radius_us) / CELL_US))
         return rows.withColumn("cell", F.explode(cells)).withColumn("core", F.col("cell") == own)
 
 
