@@ -1,13 +1,18 @@
 """Problem 9: sentence boundaries across languages and scripts.
 
-Characters are tagged boundary or inside by a linear-chain model with Viterbi decoding. Only some characters can be
-boundaries (end marks with their closing quotes, dashes that break off, turns, cue ends and, in scripts without spaces,
-gaps and line ends); all others are inside by construction, so the chain runs over the candidates of a text. Its
-features are the mark, what stands before it (abbreviation, initial, figure, or the word itself) and after it, whether a
-quotation is open, was introduced or is reported, the break that follows, and which of three regimes the text is in:
-end marks in use, none in use, or none in use in a script without spaces. Weights come from an averaged structured
-perceptron trained (`train`) on texts labelled by the conventions in `_convention`, and on the same texts stripped of
-their end marks, where a sentence's end is known from the unstripped text; they lie in `sentence_weights.json`.
+A linear chain runs over the events of a text: the characters at which a sentence could end or a quotation begin or end
+(end marks, dashes that break off, quotation marks, turns, cue borders, the text's end and, in scripts without spaces,
+gaps and line ends); all other characters are inside by construction. Each event has one of four tags: INSIDE a sentence,
+BOUNDARY after it, or inside a QUOTED passage that opened its sentence or one that words led up to (LED). Quotations are
+thus hidden states, not features: that a mark in a quotation ends nothing, which of two equal quotation marks closes, and
+what becomes of one that never closes, is decided by the learnt transitions (by class of event, previous and next tag)
+in one Viterbi pass over the whole text.
+
+Observations of an event are its mark, the break and the kind of character after it, the shape and the letters of the
+word before a full stop, whether a short clause with a word that reports follows a closing quotation mark, and how often
+the cues of the text end in a mark. Weights, transitions included, are those of an averaged structured perceptron
+(`sentence_training.py`, which also tells where labels come from); they lie in `sentence_weights.json`, with the words
+that training found to report quotations or to make adverts. No list of words is written down, neither here nor there.
 
 Defined results: null, empty and blank texts have no sentences; text misread in a one-byte encoding is decoded for
 tagging and its offsets are those in the text as it stands; a text without times is one cue; each advert cue is one
@@ -19,63 +24,57 @@ from __future__ import annotations
 import json
 import os
 import re
-from collections import defaultdict
-from collections.abc import Iterable, Iterator
+from collections.abc import Collection, Iterator
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
 from weirstone.llm.subtitles import CUE, NUL, TURN, reread, spoken
 
-#: Abbreviations that never end a sentence before a capital or in a script without case.
-TITLES = "mr mrs ms dr prof capt sgt st gen col lt rev hon jr fig approx vs no nr ca bzw abb art bd env cf mme mlle sr sra dra srta aprox ej av avda ул ок стр рис см гл тов περ χλμ κ डॉ श्री د أ ดร น.ส jan feb mar apr jun jul aug sep sept oct nov dec"
-_TITLES = frozenset(TITLES.split())
-#: Month names after a figure with a point, as in a German date.
-_MONTHS = frozenset("januar februar märz april mai juni juli august september oktober november dezember".split())
-_REPORTS = frozenset("asked said shouted whispered replied cried answered muttered called added explained insisted".split())
+INSIDE, BOUNDARY, QUOTED, LED = range(4)
+TAGS = (INSIDE, BOUNDARY, QUOTED, LED)
+#: Score of a transition that training never saw.
+NEVER = -1e6
+#: Entries after which a worker's memo of sums is emptied.
+MEMO = 200_000
+#: Characters of the word before a full stop that are looked at.
+WORD = 40
+
 _EVENT = re.compile("[.!?…。！？।؟;\"“”«»„「」『』—–\\-\x1d\x1e]")
-_EVENT_GAPS = re.compile("[.!?…。！？।؟;\"“”«»„「」『』—–\\-\x1d\x1e \t\u3000\xa0\r\n]")
+_EVENT_GAPS = re.compile("[.!?…。！？।؟;\"“”«»„「」『』—–\\-\x1d\x1e \t　\xa0\r\n]")
 _BROKEN_OFF = re.compile(r"[—–-](?=[\s\x00\x1d\x1e]*[\r\n\x1e\x1d]|[\s\x00]*$|[\s\x00]+[^\W\d_a-zа-яё])")
+_HYPHEN_LAST = re.compile(r"-[\s\x00]*(?:[\r\n\x1e\x1d]|$)")
 _SKIP = re.compile(r"[\s\x00\x1d\x1e]*")
 _NOSPACE = re.compile("[฀-๿぀-ヿ一-鿿]")
-_STOP = frozenset(" \t\r\n\xa0\u202f\u3000\x00\x1d\x1e(«“\"„‘’'!?,:")
-_MARK_SET = frozenset(".!?…。！？।؟")
-_KIND = {".": ".", "!": "!", "?": "?", "。": "。", "！": "!", "？": "?", "।": "।", "؟": "?", "…": "…"}
-_INNER = re.compile(r"([^\W\d_]{2,})[.!?।؟][ \r\n]+[^\W\d_a-zа-яёα-ω]")
-_MISSEEN_I = re.compile(r"l(?:[tfnsl]?)(?![^\W\d_])")
-_QUOTED = re.compile("[“«„「『\"][^”»“」』\"]*[”»“」』\"]")
+_STOP = frozenset(" \t\r\n\xa0 　\x00\x1d\x1e(«“\"„‘’'!?,:")
+_MARKS = frozenset(".!?…。！？।؟")
+_CLASS = {".": ".", "!": "!", "?": "!", "。": "。", "！": "。", "？": "。", "।": "।", "؟": "!", "…": "…"}
+_QUOTES = frozenset("\"“”«»„「」『』")
+_OPENERS, _CLOSERS = frozenset("«„「『"), frozenset("»”」』")
+_INNER = re.compile(r"[^\W\d_]{5,}[.!?।؟][ \r\n]+[^\W\d_a-zа-яёα-ω]")
+_QUOTATION = re.compile("[“«„「『\"][^”»“」』\"]*[”»“」』\"]")
 _GREEK = re.compile("[Ͱ-Ͽ]")
 _ALNUM = re.compile(r"[^\W_]")
-_CLOSER = re.compile("[\\s\x00\xa0 ]*([\"”»“」』])")
-_BLANK = "\x00 \t\r\n\u3000\x1e\x1d\xa0"
-_RUN = re.compile("[^\x00]+")
-_CLAUSE_END = re.compile(r"[.!?…\x1d]")
+_BLANKS = "\x00 \t\r\n　\x1e\x1d\xa0 "
+_CLAUSE = re.compile("[^\\W_]+|[.!?…\x1d:\"“«„「『]")
+_LEADS = frozenset(":\"“«„「『")
+_CLAUSE_ENDS = frozenset(".!?…\x1d")
+_WORD = re.compile(r"[^\W_]+")
+#: Letters that character recognition takes for one another, brought to one.
 _FOLD = str.maketrans("01cI", "olel")
 
 
-class Candidate:
-    __slots__ = ("at", "end", "features", "key", "label")
+class Event:
+    """A character that may end a sentence: the position, where a sentence that ends here ends, its class and observations."""
 
-    def __init__(self, at: int, end: int, key: tuple, features: tuple) -> None:
-        self.at, self.end, self.key, self.features, self.label = at, end, key, features, False
+    __slots__ = ("at", "brk", "case", "cls", "end", "seen", "word")
 
+    def __init__(self, at: int, end: int, cls: str, case: str, brk: str, word: str, seen: tuple) -> None:
+        self.at, self.end, self.cls, self.case, self.brk, self.word, self.seen = at, end, cls, case, brk, word, seen
 
-def _ends_marked(s: str) -> bool:
-    """Whether speech ends with a bare end mark, not one inside a quotation."""
-    t = s.rstrip("\x00 \r\n\t\xa0")
-    return t[-1:] in _MARK_SET or t[-1:] == ";"
 
-
-def _regime(s: str) -> str:
-    cues = [c for c in s.split(CUE) if _ALNUM.search(c)]
-    if not cues:
-        return "P"
-    if not s.isascii() and _NOSPACE.search(s) and len(_NOSPACE.findall(s)) > 0.3 * len(_ALNUM.findall(s)):
-        return "P" if len(re.findall("[。！？]", s)) >= 0.3 * len(cues) else "N"
-    if sum(map(_ends_marked, cues)) >= 0.25 * len(cues):
-        return "P"
-    inner = sum(w.lower() not in _TITLES for c in cues for w in _INNER.findall(_QUOTED.sub("", c)))
-    return "U" if inner <= 0.1 * len(cues) else "P"
+def folded(word: str) -> str:
+    return word.translate(_FOLD).lower().replace("rn", "m")
 
 
 def _case(ch: str) -> str:
@@ -89,270 +88,274 @@ def _case(ch: str) -> str:
         return "open"
     if ch in ",،、;:—–-":
         return "comma"
-    return "other"
+    return "mark" if ch in _MARKS else "other"
+
 
+_cases: dict[str, str] = {}
 
-def _before(s: str, at: int) -> tuple[str, str]:
-    """Class of the token that ends at `at`, and the token."""
-    k, least = at, max(0, at - 16)
+
+def case_of(ch: str) -> str:
+    known = _cases.get(ch)
+    if known is None:
+        known = _cases[ch] = _case(ch)
+    return known
+
+
+def habit(s: str) -> tuple[str, bool]:
+    """How the text marks ends, as an observation, and whether its script goes without spaces."""
+    cues = [c for c in s.split(CUE) if _ALNUM.search(c)]
+    if not cues:
+        return "none", False
+    dense = not s.isascii() and bool(_NOSPACE.search(s)) and len(_NOSPACE.findall(s)) > 0.3 * len(_ALNUM.findall(s))
+    ending = _WIDE_ENDING if dense else _ENDING
+    share = sum(c.rstrip(_BLANKS)[-1:] in ending for c in cues) / len(cues)
+    if dense:
+        return ("dense0" if share < 0.05 else "dense1" if share < 0.25 else "dense2"), True
+    if share >= 0.25:
+        return "marks", False
+    if CUE not in s and _BARE_MARK.search(s):
+        return "marks", False
+    inner = sum(len(_INNER.findall(_QUOTATION.sub("", c))) for c in cues) / len(cues)
+    return f"few{int(share > 0.05)}{int(inner > 0.02) + int(inner > 0.1)}", False
+
+
+_BARE_MARK = re.compile(r"[^\W_]{2,}[.!?।؟](?:\s|$)")
+_ENDING = frozenset(".!?…。！？।؟;")
+_WIDE_ENDING = frozenset("。！？")
+
+
+def word_before(s: str, at: int) -> str:
+    """The word that ends at `at`, its inner points included; of one longer than WORD characters the end."""
+    k, least = at, max(0, at - WORD)
     while k > least and s[k - 1] not in _STOP:
         k -= 1
-    word = s[k:at]
-    low = word.lower().rstrip(".")
-    if not word:
-        return "none", ""
-    if low.isdigit() or low[-1:].isdigit():
-        return "figure", ""
-    if low in ("no", "nо"):
-        return "no", low
-    if low in ("a.m", "p.m", "am", "pm", "lb", "lbs", "kg", "km", "etc", "usw", "น"):
-        return "unit", low
-    if len(low) == 1 or "." in low:
-        return "initial", ""
-    if low in _TITLES or low.translate(_FOLD) in _TITLES or low.replace("rn", "m") in _TITLES:
-        return "title", low
-    return "word", ""
-
-
-def _reported(s: str, at: int) -> bool:
-    """Whether the words at `at` report the quotation before them; blanked characters between them don't count, however many."""
-    said = ""
-    for run in _RUN.finditer(s, at):
-        part = _CLAUSE_END.split(run[0], maxsplit=1)
-        said += part[0]
-        if len(part) > 1 or len(said) > 400 or len(said.split()) > 6:
+    head, dot, tail = s[k:at].rpartition(".")
+    return tail if dot and tail and head[-3:].isalpha() and len(head) > 2 else s[k:at]  # a blank is missing before the word
+
+
+def words_after(s: str, at: int, most: int = 5) -> list[str]:
+    """The first words of the clause at `at`; more than `most` mean that it is no short one, none that it leads up to a quotation itself. Blanked characters don't count, however many."""
+    out: list[str] = []
+    for m in _CLAUSE.finditer(s, at):
+        if m[0] in _LEADS:
+            return []
+        if m[0] in _CLAUSE_ENDS or len(out) > most:
             break
-    words = said.replace(CUE, " ").split()
-    return 1 < len(words) <= 5 and any(w.lower().translate(_FOLD) in _REPORTS for w in words)
+        out.append(m[0])
+    return out
 
 
-def candidates(s: str, regime: str) -> list[Candidate]:
-    """All characters of the spoken text s that may be boundaries, in order, with their features."""
-    out: list[Candidate] = []
-    quote, opened, introduced, fresh = "", 0, False, True
-    events = _EVENT_GAPS if regime == "N" else _EVENT
-    taken = 0
+def _shape(word: str) -> str:
+    if not word:
+        return "none"
+    if word[-1].isdigit():
+        return "figure"
+    if "." in word:
+        return "dotted"
+    return str(min(len(word), 3))
+
+
+def _stop_seen(word: str, case: str, brk: str, s: str, i: int, j: int, form: str) -> tuple:
+    shape, low = _shape(word), folded(word.rstrip("."))
+    seen = [f"s={shape}|{case}", f"w={low}", f"w={low}|{case}", f".|{case}|{brk}"]
+    if shape == "figure" and case == "upper":
+        m = _WORD.match(s, j)
+        seen.append(f"fn={folded(m[0])}" if m else "fn=")
+    elif case == "lower":
+        m = _WORD.match(s, j)
+        if m and len(m[0]) < 3 and m[0][0] == "l":
+            seen.append(f"ln={m[0]}")
+    if brk == "tight":
+        seen.append(f"t={s[max(0, i - 2) : i].islower()}|{case}|{case_of(s[j + 1 : j + 2])}")
+    seen += (f"{form}|.|{case}|{brk if brk in ('turn', 'end', 'cue') else ''}", f".|{case}")
+    return tuple(seen)
+
+
+_known: dict = {}
+
+
+def _seen(*key: str) -> tuple:
+    got = _known.get(key)
+    if got is None:
+        form, cls, case, brk, extra = key
+        big = brk if brk in ("turn", "end", "cue") else ""
+        got = _known[key] = (f"{form}|{cls}|{brk}", f"{form}|{cls}|{case}|{big}|{extra}", f"{cls}|{case}|{extra}", f"{cls}|{brk}", f"{cls}|{big}")
+    return got
+
+
+def events(s: str, form: str, dense: bool, reports: Collection[str] = ()) -> list[Event]:
+    """All events of the spoken text s in order. reports: folded words that report quotations."""
+    out: list[Event] = []
+    taken = 0  # up to where characters belong to the last event
     greek = ";" in s and bool(_GREEK.search(s))
     replaced = "�" in s
-    for m in events.finditer(s):
+    low_quote = "„" in s
+    for m in (_EVENT_GAPS if dense else _EVENT).finditer(s):
         i, c = m.start(), m[0]
         if i < taken:
             continue
-        if c in "\"“”«»„「」『』":
-            if quote and (c in "”»」』" or (c == "“" and quote in "„“") or (c == '"' and quote == '"')):
-                if c == "“" and quote == "“":
-                    quote, opened = "“", i  # two openers in a row
-                    continue
-                quote = ""
-            elif c in "“«„「『\"":
-                quote, opened = c, i
-                introduced = bool(_ALNUM.search(s, _last_end(out), i))
-            continue
-        if quote and i - opened > 400:
-            quote = ""
         end = i + 1
-        if c == TURN or c == CUE:
-            kind = "turn" if c == TURN else "cue"
-            least = max(0, i - 120)
-            j = least + len(s[least:i].rstrip(_BLANK))
-            if j == least:
-                j = len(s[:i].rstrip(_BLANK))
-            if c == TURN:
-                quote = ""
-            if j <= 0 or (out and out[-1].end >= j and out[-1].key[0] != "cue"):
-                if c == TURN and out and out[-1].end >= j:
-                    out[-1] = _make(out[-1].at, out[-1].end, regime, (*out[-1].key[:4], "turn", *out[-1].key[5:]), out[-1].features[-1])
+        if c in (TURN, CUE):
+            back = len(s[taken:i].rstrip(_BLANKS)) + taken
+            if back <= taken:  # nothing was said since the last event, which has the break as an observation
                 continue
-            j2 = _SKIP.match(s, end).end()
-            nxt = _case(s[j2 : j2 + 1])
-            out.append(_make(i, j, regime, (kind, "none", nxt, "q" if quote else "", kind, "", ""), ""))
+            j = _SKIP.match(s, end).end()
+            span = s[i:j]
+            brk = "turn" if TURN in span else "end" if j == len(s) else "cue"
+            case = case_of(s[j : j + 1])
+            out.append(Event(i, back, "cue", case, brk, "", _seen(form, "cue", case, brk, "")))
+            taken = j
             continue
         if c.isspace():
             j = _SKIP.match(s, i).end()
-            prev, nxt = s[i - 1 : i], s[j : j + 1]
-            span = s[i:j]
-            if not prev or prev.isspace() or prev in (NUL, CUE, TURN) or not nxt or CUE in span or TURN in span:
+            prev, nxt, span = s[i - 1 : i], s[j : j + 1], s[i:j]
+            taken_by_gap = i == taken and bool(out)
+            if taken_by_gap or not prev or prev.isspace() or prev in (NUL, CUE, TURN) or not nxt or CUE in span or TURN in span:
                 continue
-            line = "\n" in span or "\r" in span
-            figures = not line and (prev.isdigit() or nxt.isdigit())
-            out.append(_make(i, i, regime, ("line" if line else "gap", "figure" if figures else "none", _case(nxt), "q" if quote else "", "line" if line else "", "", ""), ""))
+            brk = "line" if "\n" in span or "\r" in span else "gap"
+            figure = "figure" if prev.isdigit() or nxt.isdigit() else ""
+            case = case_of(nxt)
+            out.append(Event(i, i, "blank", case, brk, "", _seen(form, "blank", case, brk, figure)))
+            continue
+        word = ""
+        if c in _QUOTES:
+            last = s[taken:i].rstrip(_BLANKS)
+            after = s[end : end + 1]
+            if c in _OPENERS or (c == "“" and not low_quote):
+                cls = "open"
+            elif c in _CLOSERS:
+                cls = "close"
+            else:
+                left, right = s[i - 1 : i] in _BLANKS or s[i - 1 : i] in "(-—–", not after or after in _BLANKS or after in ".,!?;:…"
+                cls = f"quote{int(left)}{int(right)}"
+            said = "w" if _ALNUM.search(last) else "-"
+            marked = "m" if (last[-1:] in _MARKS if last else bool(out) and s[out[-1].end - 1 : out[-1].end] in _MARKS and out[-1].cls != "cue") else "-"
+            cls += said + marked
+            j = _SKIP.match(s, end).end()
+            span = s[end:j]
+            brk = "turn" if TURN in span else "end" if j == len(s) else "cue" if CUE in span else "gap" if span else "tight"
+            case = case_of(s[j : j + 1])
+            if case == "nospace" and s[j] == "と":
+                case = "to"
+            seen = _seen(form, cls, case, brk, "")
+            if marked == "m" and case in ("upper", "caseless") and cls.startswith(("close", "quote0")):
+                w = words_after(s, j)
+                short = 1 < len(w) <= 5
+                told = short and any(folded(x) in reports for x in w)
+                seen = (*seen, f"clause={short}", f"clause={short}|{case}", f"told={told}", f"told={told}|{case}")
+            out.append(Event(i, end, cls, case, brk, marked, seen))
+            taken = end
             continue
         if c == ";":
             if not greek or not (s[i - 1 : i].isalnum() or s[i - 1 : i] in ("_", ")")):
                 continue
-            kind = "?"
+            cls = "!"
         elif c in "—–-":
-            kind = "dash"
-            if not s[i - 1 : i].isalnum() or not _BROKEN_OFF.match(s, i):
-                continue
-            if c == "-" and not re.match(r"[\s\x00]*[\r\n\x1e\x1d]|[\s\x00]*$", s[end : end + 40]):
+            cls = "dash"
+            if not s[i - 1 : i].isalnum() or not _BROKEN_OFF.match(s, i) or (c == "-" and not _HYPHEN_LAST.match(s, i)):
                 continue
         else:
-            while s[end : end + 1] in _MARK_SET and end < len(s):
+            while s[end : end + 1] in _MARKS and end < len(s):
                 end += 1
             tok = s[i:end]
-            kind = "…" if "…" in tok or tok.startswith("..") else _KIND[tok[-1]]
-        closed = ""
-        if quote:
-            q = _CLOSER.match(s, end)
-            if q and (q[1] in "”»」』" or (q[1] == "“" and quote == "„") or (q[1] == '"' and quote == '"')):
-                end, closed, quote = q.end(), "closed", ""
-        elif replaced and s[end : end + 1] == "�" and not s[end + 1 : end + 2].isalpha():
+            cls = "…" if "…" in tok or tok.startswith("..") else _CLASS[tok[-1]]
+        if replaced and s[end : end + 1] == "�" and not s[end + 1 : end + 2].isalpha():
             end += 1
-        taken = end
         j = _SKIP.match(s, end).end()
         span = s[end:j]
-        brk = "turn" if TURN in span else "cue" if CUE in span else "line" if "\n" in span or "\r" in span else "gap" if span else "tight"
-        nxt = s[j : j + 1]
-        cls, word = _before(s, i) if kind == "." else ("word", "")
-        case = _case(nxt)
-        if nxt == "l" and _MISSEEN_I.match(s, j):
-            case = "upper"  # an I that character recognition took for an l
-        if closed and nxt == "と":
-            case = "to"
-        if kind == "." and brk == "tight" and not closed and case != "end":
-            if cls != "word" or case not in ("upper", "caseless") or not s[j + 1 : j + 2].isalpha() or s[j + 1 : j + 2].isupper() or not s[i - 2 : i].isalpha() or s[i - 1].isupper():
-                continue  # inside a figure, an initialism or an address; else a blank is missing
-        if cls == "figure" and case == "upper" and (month := re.match(r"\w+", s[j : j + 12])) and month[0].lower() in _MONTHS:
-            cls = "date"
-        report = ("intro" if introduced else "start") + ("-reported" if not introduced and _reported(s, j) else "") if closed else ""
-        out.append(_make(i, end, regime, (kind, cls, case, "q" if quote else "", brk, closed, report), word))
-    last = len(s.rstrip(_BLANK))
+        brk = "turn" if TURN in span else "end" if j == len(s) else "cue" if CUE in span else "line" if "\n" in span or "\r" in span else "gap" if span else "tight"
+        case = case_of(s[j : j + 1])
+        if case in ("open", "other") and s[j] in _QUOTES and (s[j] in _CLOSERS or brk == "tight"):
+            case = "closing"
+        if cls == ".":
+            if brk == "tight" and (case == "digit" or (case in ("lower", "upper", "caseless") and not s[i - 2 : i].isalpha())):
+                continue  # inside a figure, an initialism or an address
+            word = word_before(s, i)
+            seen = _stop_seen(word, case, brk, s, i, j, form)
+        else:
+            seen = _seen(form, cls, case, brk, "")
+        out.append(Event(i, end, cls, case, brk, word, seen))
+        taken = end
+    last = len(s.rstrip(_BLANKS))
     if last and (not out or out[-1].end < last):
-        out.append(_make(last, last, regime, ("end", "none", "end", "", "end", "", ""), ""))
-    elif out and out[-1].end >= last:
-        out[-1] = _make(out[-1].at, out[-1].end, regime, (*out[-1].key[:4], "end", *out[-1].key[5:]), "")
+        out.append(Event(last, last, "cue", "end", "end", "", _seen(form, "cue", "end", "end", "")))
     return out
 
 
-def _last_end(out: list[Candidate]) -> int:
-    for c in reversed(out):
-        if c.label:
-            return c.end
-    return 0
-
-
-_made: dict = {}
-
-
-def _make(at: int, end: int, regime: str, key: tuple, word: str) -> Candidate:
-    known = _made.get((regime, key, word))
-    if known is None:
-        kind, cls, case, inq, brk, closed, report = key
-        known = (
-            f"{regime}|{kind}|{cls}|{case}|{inq}|{brk if brk in ('turn', 'end', 'cue') or regime == 'N' else ''}|{closed}|{report}", f"{regime}|{kind}|{inq}|{closed}", f"{regime}|{kind}|{case}|{report}", f"{kind}|{cls}|{case}|{inq}", f"{regime}|{brk}|{kind}", f"w={word}|{case}", word,
-        )
-        known = _made[(regime, key, word)] = (known, _convention(regime, key))
-    c = Candidate(at, end, key, known[0])
-    c.label = known[1]
-    return c
-
-
-def _convention(regime: str, key: tuple) -> bool:
-    """What the marks mean by convention; labels the training texts."""
-    kind, cls, case, inq, brk, closed, report = key
-    if brk in ("turn", "end"):
-        return True
-    if regime == "U":
-        return brk == "cue"
-    if kind == "cue":
-        return regime == "N"
-    if kind in ("line", "gap"):
-        return cls != "figure" and not inq
-    if inq:
-        return False
-    if closed:
-        if case in ("comma", "lower", "to") or report == "start-reported":
-            return False
-        return not (report == "start" and case == "nospace")
-    if kind == "dash":
-        return case != "lower"
-    if kind == "…":
-        return case in ("upper", "open", "end", "digit")
-    if kind == "." and regime == "N":
-        return brk in ("cue", "line") or (cls == "unit" and case != "digit")
-    if kind == ".":
-        if cls in ("initial", "title", "date"):
-            return False
-        if cls in ("no", "figure", "unit"):
-            return case in ("upper", "open", "end", "caseless") if cls != "no" else case in ("upper", "open", "end")
-        return case != "comma" and (case != "lower" or brk == "cue")
-    return case != "comma"
-
-
-def viterbi(found: list[Candidate], weights: dict[str, float], memo: dict | None = None) -> list[bool]:
-    """The best tags of a chain of candidates; weights hold features of the tag boundary and `t=` transitions. memo: sums by features, while weights stay."""
-    same, turn = weights.get("t=11", 0.0), weights.get("t=01", 0.0)
-    get, memo = weights.get, {} if memo is None else memo
-    in_, out_, back = 0.0, 0.0, []
-    for n, c in enumerate(found):
-        u = memo.get(id(c.features))
-        if u is None:
-            u = memo[id(c.features)] = sum(get(f, 0.0) for f in c.features[:-1])
-        if n == 0:
-            in_, out_ = 0.0, u
-            back.append((False, False))
-            continue
-        to_b0, to_b1 = in_ + turn, out_ + same
-        a, b = out_ > in_, to_b1 > to_b0
-        in_, out_ = max(in_, out_), max(to_b0, to_b1) + u
-        back.append((a, b))
-    tags, tag = [], out_ > in_
-    for a, b in reversed(back):
+def viterbi(chain: list[Event], model: dict[str, list[float]], memo: dict | None = None) -> list[int]:
+    """The best tags of a chain. model: scores of the four tags by observation, and by `>class|tag` of the tags after a tag; memo: sums by observations, while the model stays."""
+    if not chain:
+        return []
+    memo = {} if memo is None else memo
+    if len(memo) > MEMO:
+        memo.clear()
+    best, back = {BOUNDARY: 0.0}, []
+    for e in chain:
+        got = memo.get((e.cls, e.seen))
+        if got is None:
+            sums = [0.0] * 4
+            for f in e.seen:
+                if (w := model.get(f)) is not None:
+                    sums = [a + b for a, b in zip(sums, w)]
+            moves = [(p, [(t, w + sums[t]) for t, w in enumerate(model.get(f">{e.cls}|{p}", ())) if w > NEVER / 2]) for p in TAGS]
+            got = memo[(e.cls, e.seen)] = [ts or [(BOUNDARY if p < QUOTED else p, NEVER + sums[p])] for p, ts in moves]
+        new: dict[int, float] = {}
+        come: dict[int, int] = {}
+        for p, score in best.items():
+            for t, w in got[p]:
+                x = score + w
+                if t not in new or x > new[t]:
+                    new[t], come[t] = x, p
+        best = new
+        back.append(come)
+    tag = max(best, key=best.get)
+    tags = []
+    for come in reversed(back):
         tags.append(tag)
-        tag = b if tag else a
+        tag = come[tag]
     return tags[::-1]
 
 
-def train(texts: Iterable[str], rounds: int = 3) -> dict[str, float]:
-    """Averaged structured perceptron on conventionally labelled texts and on their stripped copies."""
-    chains = []
-    for text in texts:
-        s, _ = spoken(text)
-        regime = _regime(s)
-        chains.append(candidates(s, regime))
-        if regime == "P":
-            bare = re.sub("[。！？]", lambda m: " ", s) if _NOSPACE.search(s) else re.sub(r"(?<=[^\W\d_]{3})[.!?।؟](?=[\s\x00]*(?:\x1e|$))", NUL, s)
-            chains.append(candidates(bare, _regime(bare)))
-    w: dict[str, float] = defaultdict(float)
-    total: dict[str, float] = defaultdict(float)
-    step = 1
-    for _ in range(rounds):
-        for chain in chains:
-            gold = [c.label for c in chain]
-            for got, want, c in zip(viterbi(chain, w), gold, chain):
-                if got != want:
-                    for f in c.features[:-1]:
-                        w[f] += 1.0 if want else -1.0
-                        total[f] += step if want else -step
-            step += 1
-    return {f: round(w[f] - total[f] / step, 3) for f in w if abs(w[f] - total[f] / step) > 1e-3}
-
-
 _WEIGHTS = os.path.join(os.path.dirname(__file__), "sentence_weights.json")
-_loaded: dict[str, float] = {}
+_loaded: dict[str, list[float]] = {}
 
 
-def weights() -> dict[str, float]:
+def weights() -> dict[str, list[float]]:
     if not _loaded:
         with open(_WEIGHTS, encoding="utf-8") as f:
             _loaded.update(json.load(f))
     return _loaded
 
 
-def sentence_ends(text: str | None, model: dict[str, float] | None = None, memo: dict | None = None) -> list[int]:
+_lexica: dict[int, tuple[dict, frozenset[str], frozenset[str]]] = {}
+
+
+def lexica(model: dict[str, list[float]]) -> tuple[frozenset[str], frozenset[str]]:
+    """The words by which the model knows an advert, and those that report a quotation; they lie in it as `ad=word` and `report=word`."""
+    known = _lexica.get(id(model))
+    if known is None or known[0] is not model:
+        _lexica.clear()
+        known = _lexica[id(model)] = (model, *(frozenset(f[len(k) :] for f in model if f.startswith(k)) for k in ("ad=", "report=")))
+    return known[1:]
+
+
+def sentence_ends(text: str | None, model: dict[str, list[float]] | None = None, memo: dict | None = None) -> list[int]:
     """Offsets just after the last character of each sentence, ascending."""
     if not text or not text.strip():
         return []
     model = weights() if model is None else model
     right = reread(text)
-    s, ads = spoken(right[0] if right else text)
-    found = candidates(s, _regime(s))
+    adverts, reports = lexica(model)
+    s, ads = spoken(right[0] if right else text, adverts)
+    chain = events(s, *habit(s), reports)
     ends, start = set(ads), 0
-    for c, boundary in zip(found, viterbi(found, model, memo)):
-        if boundary and c.end > start and _ALNUM.search(s, start, c.end):
-            ends.add(c.end)
-            start = c.end
+    for e, tag in zip(chain, viterbi(chain, model, memo)):
+        if tag == BOUNDARY and e.end > start and _ALNUM.search(s, start, e.end):
+            ends.add(e.end)
+            start = e.end
+    last = len(s.rstrip(_BLANKS))
+    if last > start and _ALNUM.search(s, start, last):
+        ends.add(last)  # a text's end is a sentence's
     out = sorted(e for e in ends if e)
     return [right[1][e - 1] for e in out] if right else out
 

@@ -8,6 +8,7 @@ speaker's turn is marked TURN, so positions in it are positions in the file.
 from __future__ import annotations
 
 import re
+from collections.abc import Collection
 
 NUL, CUE, TURN = "\x00", "\x1e", "\x1d"
 _TIME = re.compile(r"(?:(?<=[\n\r])|^)[﻿ \t]*(?:\d+[ \t]*(?:\r\n|\n|\r)[ \t]*)?\d+:\d\d(?::\d\d)?[.,]\d+[ \t]*[-=]+>[ \t]*\d+:\d\d(?::\d\d)?[.,]\d+[^\r\n]*")
@@ -17,8 +18,10 @@ _SONG = re.compile(r"[♪♫][^♪♫\r\n]*[♪♫]|[♪♫]")
 _LEADING = re.compile(r"(?m)^([\x00\x1e \t]*(?:[-–—][ \t]*)?(?:[A-Z][A-Z0-9 #.'-]*:[ \t]*)?)(\([^()\r\n]*\))")
 _SPEAKER = re.compile(r"(?m)^([\x00\x1e \t]*(?:[-–—][\x00 \t]*)?)((?:[^\W\d_a-z][A-Z0-9 #.'’-]*[A-Z0-9]):)(?=[ \t\x00])")
 _DASH = re.compile(r"(?m)^[\x00\x1e \t]*(?:([-–])|(—)(?=[\x00 \t]*[^\W\d_a-zа-яё]))")
-_ADVERT = re.compile(r"(?i)https?://|www\.|[\w.-]+@[\w-]+\.\w+|\b[\w-]+\.(?:invalid|example|com|net|org)\b|subtitles by |sync and corrections|downloaded from|ripped by|advertise your product|get more subtitles|support us:")
-_ADVERT_HINTS = ("http", "www.", "@", ".invalid", ".example", ".com", ".net", ".org", "subtitles", "corrections", "downloaded", "ripped", "advertise", "support us")
+_ADDRESS = re.compile(r"https?://|www\.|[\w.-]+@[\w-]+\.\w+")
+#: A name that ends in figures, or words joined by a point: an advert only together with a word that adverts use.
+_HANDLE = re.compile(r"\b[a-z]{2,}\d+\b|\b[a-z0-9-]+\.[a-z]{3,}\b")
+_WORDS = re.compile("[a-z]{4,}")
 _SINGLE = {c: bytes([c]).decode("cp1252", "replace") for c in range(256)}
 _BACK = {ch: c for c, ch in _SINGLE.items() if ch != "�"} | {chr(c): c for c in range(160)}
 _REST = "".join(re.escape(ch) for ch, b in _BACK.items() if 0x80 <= b < 0xC0)
@@ -73,8 +76,18 @@ def _blank(m: re.Match) -> str:
     return NUL * len(m[0])
 
 
-def spoken(text: str) -> tuple[str, list[int]]:
-    """The speech in place, and the end of each advert cue."""
+def advertises(cue: str, words: Collection[str]) -> bool:
+    """Whether a cue is an advert: it holds an address, or a handle and one of `words`, which training finds."""
+    return bool(_ADDRESS.search(cue)) or (bool(_HANDLE.search(cue)) and any(w in words for w in _WORDS.findall(cue.lower())))
+
+
+def suspects(s: str) -> list[tuple[bool, set[str]]]:
+    """For each cue with a word: whether it holds an address or a handle, and its longer words."""
+    return [(bool(_ADDRESS.search(c) or _HANDLE.search(c)), w) for c in s.split(CUE) if (w := set(_WORDS.findall(c.lower())))]
+
+
+def cued(text: str) -> str:
+    """The text with cue borders marked, and times, numbers, headers and markup blanked."""
     s, n = _TIME.subn(lambda m: CUE + NUL * (len(m[0]) - 1), text)
     if n:
         head = s.index(CUE)
@@ -83,13 +96,18 @@ def spoken(text: str) -> tuple[str, list[int]]:
         s = re.sub(r"^\ufeff?WEBVTT[^\r\n]*", _blank, s)
     if "<" in s or "{" in s:
         s = _MARKUP.sub(_blank, s)
+    return s
+
+
+def spoken(text: str, advert_words: Collection[str] = ()) -> tuple[str, list[int]]:
+    """The speech in place, and the end of each advert cue."""
+    s = cued(text)
     ads: list[int] = []
-    low = s.lower()
-    if any(k in low for k in _ADVERT_HINTS):
+    if _ADDRESS.search(s) or _HANDLE.search(s):
         cues = s.split(CUE)
         at = 0
         for k, cue in enumerate(cues):
-            if _ADVERT.search(cue):
+            if advertises(cue, advert_words):
                 ads.append(at + len(cue.rstrip("\x00 \t\r\n\u3000")))
                 cues[k] = re.sub(r"[^\r\n]", NUL, cue)
             at += len(cue) + 1
