@@ -156,19 +156,30 @@ def _shape(word: str) -> str:
 
 
 def _stop_seen(word: str, case: str, brk: str, s: str, i: int, j: int, form: str) -> tuple:
-    shape, low = _shape(word), folded(word.rstrip("."))
-    seen = [f"s={shape}|{case}", f"w={low}", f"w={low}|{case}", f".|{case}|{brk}"]
-    if shape == "figure" and case == "upper":
+    extra = ""
+    if case == "upper" and word[-1:].isdigit():
         m = _WORD.match(s, j)
-        seen.append(f"fn={folded(m[0])}" if m else "fn=")
-    elif case == "lower":
+        extra = f"fn={folded(m[0])}" if m else "fn="
+    elif case == "lower" and s[j] == "l":
         m = _WORD.match(s, j)
-        if m and len(m[0]) < 3 and m[0][0] == "l":
-            seen.append(f"ln={m[0]}")
+        extra = f"ln={m[0]}" if len(m[0]) < 3 else ""
     if brk == "tight":
-        seen.append(f"t={s[max(0, i - 2) : i].islower()}|{case}|{case_of(s[j + 1 : j + 2])}")
-    seen += (f"{form}|.|{case}|{brk if brk in ('turn', 'end', 'cue') else ''}", f".|{case}")
-    return tuple(seen)
+        extra = f"t={s[max(0, i - 2) : i].islower()}|{case}|{case_of(s[j + 1 : j + 2])}"
+    key = (word, case, brk, form, extra)
+    got = _known.get(key)
+    if got is None:
+        shape, low = _shape(word), folded(word.rstrip("."))
+        seen = [f"s={shape}|{case}", f"w={low}", f"w={low}|{case}", f".|{case}|{brk}", f"{form}|.|{case}|{brk if brk in ('turn', 'end', 'cue') else ''}", f".|{case}"]
+        got = _keep(key, (*seen, extra) if extra else tuple(seen))
+    return got
+
+
+def _keep(key, seen: tuple) -> tuple:
+    """One object for equal observations, so that sums can be remembered by it."""
+    if len(_known) > MEMO:
+        _known.clear()
+    _known[key] = seen
+    return seen
 
 
 _known: dict = {}
@@ -179,7 +190,7 @@ def _seen(*key: str) -> tuple:
     if got is None:
         form, cls, case, brk, extra = key
         big = brk if brk in ("turn", "end", "cue") else ""
-        got = _known[key] = (f"{form}|{cls}|{brk}", f"{form}|{cls}|{case}|{big}|{extra}", f"{cls}|{case}|{extra}", f"{cls}|{brk}", f"{cls}|{big}")
+        got = _keep(key, (f"{form}|{cls}|{brk}", f"{form}|{cls}|{case}|{big}|{extra}", f"{cls}|{case}|{extra}", f"{cls}|{brk}", f"{cls}|{big}"))
     return got
 
 
@@ -242,7 +253,8 @@ def events(s: str, form: str, dense: bool, reports: Collection[str] = ()) -> lis
                 w = words_after(s, j)
                 short = 1 < len(w) <= 5
                 told = short and any(folded(x) in reports for x in w)
-                seen = (*seen, f"clause={short}", f"clause={short}|{case}", f"told={told}", f"told={told}|{case}")
+                key = (seen, short, told, case)
+                seen = _known.get(key) or _keep(key, (*seen, f"clause={short}", f"clause={short}|{case}", f"told={told}", f"told={told}|{case}"))
             out.append(Event(i, end, cls, case, brk, marked, seen))
             taken = end
             continue
@@ -291,14 +303,15 @@ def viterbi(chain: list[Event], model: dict[str, list[float]], memo: dict | None
         memo.clear()
     best, back = {BOUNDARY: 0.0}, []
     for e in chain:
-        got = memo.get((e.cls, e.seen))
+        got = memo.get(id(e.seen))
         if got is None:
             sums = [0.0] * 4
             for f in e.seen:
                 if (w := model.get(f)) is not None:
                     sums = [a + b for a, b in zip(sums, w)]
             moves = [(p, [(t, w + sums[t]) for t, w in enumerate(model.get(f">{e.cls}|{p}", ())) if w > NEVER / 2]) for p in TAGS]
-            got = memo[(e.cls, e.seen)] = [ts or [(BOUNDARY if p < QUOTED else p, NEVER + sums[p])] for p, ts in moves]
+            got = memo[id(e.seen)] = [ts or [(BOUNDARY if p < QUOTED else p, NEVER + sums[p])] for p, ts in moves]
+            got.append(e.seen)  # kept, so that its id stays its own
         new: dict[int, float] = {}
         come: dict[int, int] = {}
         for p, score in best.items():
