@@ -71,4 +71,27 @@ def test_fill_without_sources_of_no_capacity(spark):
     targets = spark.createDataFrame([("a", 0.5, 2), ("b", 0.3, 1), ("absent", 0.2, 9)], TARGETS)
     assert {r["wanted"] for r in mix.demands(tokens, targets, "fill").collect()} == {0.0}
     plan = {r["source"]: r for r in mix.demands(tokens, targets, "fill_present").collect()}
-    assert plan["a"]["wanted"] > 0 and not plan["a"]["short"] and not plan["b"]["short"] and plan["absent"]["short"]
+    assert plan["a"]["wanted"] > 0 and plan["a"]["capacity"] >= plan["a"]["wanted"] and plan["b"]["capacity"] >= plan["b"]["wanted"] and plan["absent"]["capacity"] == 0
+    plan = mix.demands(tokens, targets, "fill_present")
+    assert {r["source"] for r in mix.shares(mix.mixed(tokens, plan), plan).where("short").collect()} == {"absent"}
+
+
+def test_registered_mix_keeps_counts_caps_and_shares(spark, small):
+    """On the smallest tables: each source's number of copies is the wanted sum rounded up or down, no document is beyond its cap, shares are off by at most a document's tokens."""
+    documents, targets = (spark.read.parquet(f"{small}/{t}.parquet") for t in ("documents", "mix_targets"))
+    tokens = mix.token_table(documents)
+    plan = mix.demands(tokens, targets, "all").cache()
+    wanted = {r["source"]: r for r in plan.collect()}
+    most = {r["skey"]: r["m"] for r in tokens.groupBy("skey").agg(F.max("tokens").alias("m")).collect()}
+    per_doc = queries.QUERIES["p8_mix"](spark, small).join(targets.select("source", "max_repeats"), "source")
+    assert per_doc.where("copies > max_repeats or copies < 1").count() == 0
+    reached = {r["source"]: r for r in queries.QUERIES["p8_shares"](spark, small).collect()}
+    total = sum(r["mix_tokens"] for r in reached.values())
+    for source, r in reached.items():
+        w = wanted[source]
+        copies = w["per_doc"] * w["docs"]
+        assert int(copies + 1e-6) <= r["copies"] <= int(copies + 1 - 1e-6)
+        assert r["short"] == (w["capacity"] < w["wanted"]) and abs(r["share"] - r["mix_tokens"] / total) < 1e-12
+        if not r["short"]:
+            assert abs(r["mix_tokens"] - w["wanted"]) <= 2 * most[w["skey"]]
+    assert {r["source"] for r in queries.QUERIES["p8_found"](spark, small).collect()} == {s for s, r in reached.items() if r["short"]}

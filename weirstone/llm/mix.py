@@ -8,8 +8,8 @@ single one left, which is drawn. Each document's expected copies are what it wan
 is the wanted sum, rounded up or down. Draws depend on the seed and the blocks only, so a rerun gives the same mix.
 
 `size` is the mix's size in tokens. "all", which the registered queries use, is as large as all documents together; a
-source that can't fill its share of that stays at its cap, is marked short, and the shares really reached are reported.
-"fill" is the largest size up to that at which every source fills its share, so nothing if one has no tokens;
+source that can't fill its share of that stays at its cap. `shares` reads off the mix which sources those are (short), and
+the shares really reached. "fill" is the largest size up to that at which every source fills its share, so nothing if one has no tokens;
 "fill_present" is the same without the sources of no capacity, which are marked short. Defined results: sources match by lower case without outer blanks; documents of no or an unknown source aren't mixed but count
 in the total; texts without tokens get no copies; a share of null or 0 wants nothing.
 """
@@ -65,7 +65,7 @@ def token_table(documents: DataFrame, vocabulary: str = VOCABULARY) -> DataFrame
 
 
 def demands(tokens: DataFrame, targets: DataFrame, size: float | str = "fill") -> DataFrame:
-    """Per target source: source, skey, target_share, max_repeats, tokens, docs, wanted, capacity, short, per_doc. size: tokens, "all", "fill" or "fill_present"."""
+    """Per target source: source, skey, target_share, max_repeats, tokens, docs, wanted, capacity, per_doc. size: tokens, "all", "fill" or "fill_present"."""
     have = tokens.groupBy("skey").agg(F.sum("tokens").alias("tokens"), F.count(F.when(F.col("tokens") > 0, 1)).alias("docs"))
     total = tokens.agg(F.sum("tokens")).first()[0] or 0
     t = targets.select("source", "target_share", "max_repeats").withColumn("skey", _key(F.col("source")))
@@ -77,7 +77,7 @@ def demands(tokens: DataFrame, targets: DataFrame, size: float | str = "fill") -
         size = min(float(total), t.agg(F.min(F.when(filled, cap / share))).first()[0] or 0.0)
     elif size == "all":
         size = float(total)
-    t = t.withColumn("wanted", share * float(size)).withColumn("short", cap < F.col("wanted") * (1 - 1e-12))
+    t = t.withColumn("wanted", share * float(size))
     per_doc = F.when(F.col("tokens") > 0, F.least(F.coalesce("max_repeats", F.lit(1)).cast("double"), F.col("wanted") / F.col("tokens"))).otherwise(0.0)
     return t.withColumn("per_doc", per_doc)
 
@@ -114,12 +114,17 @@ def mixed(tokens: DataFrame, plan: DataFrame, seed: int = 0) -> DataFrame:
 
 
 def shares(mix: DataFrame, plan: DataFrame) -> DataFrame:
-    """source, target_share, share reached, mix_tokens, copies, most_copies, max_repeats, capacity, wanted, short."""
+    """source, target_share, share reached, mix_tokens, copies, most_copies, max_repeats, capacity, wanted, short.
+
+    A source is short if the mix holds every document of it as often as it may and still less of it than wanted.
+    """
     got = mix.groupBy("source").agg(F.sum(F.col("tokens") * F.col("copies")).alias("mix_tokens"), F.sum("copies").alias("copies"), F.max("copies").alias("most_copies"))
-    out = plan.select("source", "target_share", "max_repeats", "capacity", "wanted", "short").join(got, "source", "left")
+    out = plan.select("source", "target_share", "max_repeats", "docs", "capacity", "wanted").join(got, "source", "left")
     out = out.withColumn("mix_total", F.sum("mix_tokens").over(Window.partitionBy()))  # one row per target
     zero = lambda c: F.coalesce(c, F.lit(0))
-    return out.select("source", "target_share", (zero("mix_tokens") / F.col("mix_total")).alias("share"), zero("mix_tokens").alias("mix_tokens"), zero("copies").alias("copies"), zero("most_copies").alias("most_copies"), "max_repeats", "capacity", "wanted", "short")
+    full = zero("copies") >= F.col("docs") * F.coalesce("max_repeats", F.lit(1))
+    short = full & (zero("mix_tokens") < F.col("wanted") * (1 - 1e-12))
+    return out.select("source", "target_share", (zero("mix_tokens") / F.col("mix_total")).alias("share"), zero("mix_tokens").alias("mix_tokens"), zero("copies").alias("copies"), zero("most_copies").alias("most_copies"), "max_repeats", "capacity", "wanted", short.alias("short"))
 
 
 def p8_mix(documents: DataFrame, targets: DataFrame, size: float | str = "fill") -> DataFrame:
@@ -134,7 +139,7 @@ def p8_shares(documents: DataFrame, targets: DataFrame, size: float | str = "fil
 
 
 def p8_found(documents: DataFrame, targets: DataFrame) -> DataFrame:
-    """Sources that stay short of their share in a mix as large as all documents, each of their documents at its cap."""
+    """Sources that stay short of their share in the mix as large as all documents that the rounding gives, each of their documents in it at its cap."""
     tokens = token_table(documents)
     plan = written(demands(tokens, targets, "all"), "demands")
     return shares(mixed(tokens, plan), plan).where("short").select("source")
