@@ -1,9 +1,12 @@
 import numpy as np
 import pytest
+from hypothesis import given, settings
+from hypothesis import strategies as st
 from pyspark.sql import functions as F
 from tests.conftest import SAMPLES
 
 from weirstone.llm import quantiles as Q
+from weirstone.llm import queries
 
 ROWS = "key bigint, batch bigint, value double"
 
@@ -46,6 +49,43 @@ def test_summaries_combine_within_their_bound(rows):
         assert low - r["rank_error"] <= rank <= high + r["rank_error"]
 
 
+def test_infinities_end(spark):
+    inf = float("inf")
+    data = [(1, 0, x) for x in [-inf] * 4 + [inf] * 4] + [(2, 0, x) for x in (-inf, inf, 0.0)]
+    got = {(r["key"], r["q"]): r["value"] for r in Q.select_ranks(Q.blocks(spark.createDataFrame(data, ROWS).repartition(3)), (0.25, 0.5, 0.51, 1.0), 1).collect()}
+    assert got == {(1, 0.25): -inf, (1, 0.5): -inf, (1, 0.51): inf, (1, 1.0): inf, (2, 0.25): -inf, (2, 0.5): 0.0, (2, 0.51): 0.0, (2, 1.0): inf}
+
+
+def test_summaries_of_summaries(spark):
+    rng, v = np.random.default_rng(7), None
+    v = rng.normal(size=40_000)
+    of = Q.blocks(spark.createDataFrame([(1, i % 4, float(x)) for i, x in enumerate(v)], ROWS).coalesce(2))
+    for eps in (0.004, 0.01, 0.0):
+        of = Q.summarise(of, eps)
+    v = np.sort(v)
+    for r in Q.select_ranks(of, (0.1, 0.5, 0.9), 20).collect():
+        rank = int(np.ceil(r["q"] * len(v)))
+        assert r["n"] == 40_000 and 0 < r["rank_error"] <= 0.0141 * len(v)
+        assert abs(np.searchsorted(v, r["value"]) + 1 - rank) <= r["rank_error"]
+
+
+@settings(max_examples=100, deadline=None)
+@given(st.lists(st.tuples(st.integers(0, 30), st.integers(1, 9)), min_size=1, max_size=60), st.floats(0, 0.3))
+def test_thinning_keeps_weight_and_ranks(pairs, eps):
+    v, w = np.array(sorted(x for x, _ in pairs), float), np.array([y for _, y in pairs])
+    whole = np.repeat(v, w)
+    x, runs, more = Q.thinned(v, w, eps)
+    assert runs.sum() == w.sum() and more <= eps * len(whole) + 0.5 and (np.diff(x) >= 0).all()
+    ends = np.cumsum(runs)
+    for value, end, run in zip(x, ends, runs):
+        assert whole[end - run] <= value <= whole[end - 1]
+
+
+def test_bound_query(spark, small):
+    got = queries.QUERIES["p4_bound"](spark, small)
+    assert got.count() > 0 and got.where("not holds").count() == 0
+
+
 def test_hot_group_and_empty(spark):
     df = spark.range(20000).select(F.lit(1).cast("bigint").alias("key"), F.lit(0).cast("bigint").alias("batch"), F.pmod(F.xxhash64("id"), F.lit(1000)).cast("double").alias("value"))
     v = [r["value"] for r in df.collect()]
