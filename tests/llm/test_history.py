@@ -3,7 +3,7 @@ import random
 from pyspark.sql import functions as F
 from tests.conftest import SAMPLES
 
-from weirstone.llm.history import CELL_US, SPAN_CELLS, History, deduplicated, p6_accepted, p6_found
+from weirstone.llm.history import CELL_US, SPAN_CELLS, History, deduplicated, in_batches, p6_accepted, p6_found
 
 BASE = 1741046400
 
@@ -54,3 +54,25 @@ def test_radius_of_several_cells(spark):
     h.append(spark.createDataFrame([(1, 1, 1), (2, 1, 2)], v), 0)
     h.append(spark.createDataFrame([(1, 3 * CELL_US, 3), (2, 3 * CELL_US + 2, 4), (1, 5 * CELL_US, 5)], v), 1)
     assert {r["sample_id"] for r in h.repeats(1).collect()} == {3, 5}
+
+
+def test_a_further_batch_reads_what_it_touches_only(spark):
+    """Cells carry centroid and radius; of a long history a batch probes the cells within its bound, however much else there is."""
+    h = History(spark)
+    v = "sid int, t_us bigint, sample_id bigint"
+    h.append(spark.range(4000).select(F.lit(1).alias("sid"), (F.col("id") * (CELL_US // 4)).alias("t_us"), F.col("id").alias("sample_id")), 0)
+    cell = h.cells().where("cell = 7").first()
+    assert (cell["n"], cell["centroid"], cell["radius"]) == (4, 7 * CELL_US + 3 * CELL_US / 8, 3 * CELL_US / 8)
+    new = [(1, 500 * CELL_US + 1_000_000, 5000), (1, 900 * CELL_US - 1_000_000, 5001), (1, 700 * CELL_US + CELL_US // 8, 5002), (2, 500 * CELL_US, 5003)]
+    h.append(spark.createDataFrame(new, v), 1)
+    assert sorted(r["cell"] for r in h.probed(1).collect()) == [500, 700, 900]  # 899 ends further away than the radius, but for 900
+    assert {r["sample_id"] for r in h.repeats(1).collect()} == {5000, 5001}
+    files = {f.split("/vectors/")[1] for f in h.vectors().where("gen = 0 and span in (4, 5, 7)").inputFiles()}
+    assert 0 < len(files) < len(h.vectors().inputFiles())
+
+
+def test_batches_are_whole_windows(spark):
+    rows = spark.createDataFrame([(i, i // 7) for i in range(100)], "sample_id bigint, window_id bigint")
+    parts = [[tuple(r) for r in b.collect()] for b in in_batches(rows, 3)]
+    assert sum(map(len, parts)) == 100 and len(parts) == 3
+    assert not {w for _, w in parts[0]} & {w for _, w in parts[1]} and not {w for _, w in parts[1]} & {w for _, w in parts[2]}
