@@ -19,6 +19,7 @@ from __future__ import annotations
 
 import base64
 import codecs
+import hashlib
 import re
 import unicodedata
 from collections.abc import Iterable, Iterator
@@ -177,12 +178,12 @@ class Encoder:
         return sum(map(len, map(self.ids_of, self.cut(text)))) if text else 0
 
 
-_encoders: dict[int, Encoder] = {}
+_encoders: dict[tuple, Encoder] = {}
 
 
 def _encoder(shared) -> Encoder:
     """One encoder per worker and vocabulary, with its memos, for as long as the worker lives."""
-    key = hash((shared.value[1], len(shared.value[0]), shared.value[0][:200]))
+    key = shared.value[1:]  # pattern, and digest of the whole vocabulary
     if key not in _encoders:
         ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, shared.value[0].splitlines())}
         _encoders[key] = Encoder(ranks, shared.value[1])
@@ -191,7 +192,8 @@ def _encoder(shared) -> Encoder:
 
 def _share(df: DataFrame, vocabulary: str, pattern: str):
     with open(vocabulary, "rb") as f:
-        return df.sparkSession.sparkContext.broadcast((f.read(), pattern))  # the vocabulary's file, under 1 MB
+        data = f.read()
+    return df.sparkSession.sparkContext.broadcast((data, pattern, hashlib.sha256(data).hexdigest()))  # the vocabulary's file, under 1 MB
 
 
 def encoded(documents: DataFrame, vocabulary: str = VOCABULARY, pattern: str = PATTERN) -> DataFrame:
