@@ -6,19 +6,26 @@ One pass over (station, time shard), each with a halo of neighbouring readings,
   and which has long dry spells, is not deseasonalised and is divided by 1 + 0.25 * course first;
 - how far it stands off the readings on both sides that are themselves on course (a front doesn't return, a spike does);
 - how long its value has stayed unchanged.
-The pass gives only the readings worth a look and one histogram of residuals and stays per shard. From the merged
-histograms of a station the peaks over a threshold are fitted with a generalised Pareto distribution (probability
-weighted moments), which sets the station's cutoff at a fixed risk per reading; its ordinary stays set the length
-from which a stay is a fault. Values outside the quantity's possible range are faults at once.
+The pass gives only the readings worth a look and sparse histograms of residuals and stays per shard. Summed per station
+in the JVM, both get a tail by peaks over a threshold, with what can't be of the tail left out first (`settled`):
+- residuals: a generalised Pareto distribution, whose shape (probability weighted moments) is that of all stations of the
+  unit, as a few hundred peaks don't give a shape, and whose threshold and scale are the station's own. The cutoff is the
+  deviation that one reading in 1/RISK exceeds;
+- stays: a geometric distribution beyond the station's own threshold, its mean weighed with that of the unit. A stay is a
+  fault from the length that FALSE_STAYS of all the station's stays would reach.
+Neither cutoff is clipped. Values outside the quantity's possible range are faults at once.
 
 Defined results: null and NaN values and unreadable timestamps are never flagged; repeated rows share the verdict
-of their reading; a station with a handful of readings gets the floor of the cutoff; an unknown unit has no range.
+of their reading; a station with a handful of readings goes by its unit's tail; an unknown unit has no range. Readings on course within
+WATCH spreads and stays below LEAST_STAY readings are never looked at, so cutoffs below them (risks above 1e-4) act as they
+do; of a stay longer than the halo, what lies within a shard and its halo counts.
 """
 
 from __future__ import annotations
 
+from collections.abc import Callable, Iterator
+
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -31,16 +38,23 @@ from weirstone.shared import dimension, written
 POSSIBLE = {"degC": (-60.0, 57.0), "mm": (0.0, 300.0), "percent": (0.0, 100.0), "m/s": (0.0, 113.0)}
 #: Units whose noise grows with the value and whose zero is ordinary weather.
 SHOWERY = ("mm",)
-RISK = 1e-7
+RISK = 1e-8
+FALSE_STAYS = 0.01
+#: Share of a station's residuals, and of its stays, beyond the threshold.
+PEAKS = 0.05
+#: How many stays beyond the threshold the unit's mean weighs as.
+PRIOR = 10.0
 HALF = 12
-WATCH = 4.0
-LEAST_CUT, MOST_CUT = 6.0, 9.0
-STUCK_MIN = 12
+#: Spreads up to which a reading is on course, and from which it is looked at.
+CALM, WATCH = 4.0, 3.5
+LEAST_STAY = 4
+#: Stays this long, and three times as long as nearly all of the shard, take no part in finding the course.
+HELD = 12
 SHARD_READINGS = 2048
 HALO_READINGS = 96
-BIN, BINS, STAYS = 0.1, 400, 64
-_SCHEMA = pa.schema([("sid", pa.int32()), ("sample_id", pa.int64()), ("z", pa.float64()), ("stay", pa.int32()), ("bad", pa.bool_()), ("hist", pa.list_(pa.int32())), ("stays", pa.list_(pa.int32()))])
-OUT = "sid int, sample_id bigint, z double, stay int, bad boolean, hist array<int>, stays array<int>"
+BIN, BINS, STAYS = 0.1, 400, 512
+_SCHEMA = pa.schema([("sid", pa.int32()), ("unit", pa.string()), ("sample_id", pa.int64()), ("z", pa.float64()), ("stay", pa.int32()), ("bad", pa.bool_()), ("bins", pa.list_(pa.int32())), ("counts", pa.list_(pa.int64()))])
+OUT = "sid int, unit string, sample_id bigint, z double, stay int, bad boolean, bins array<int>, counts array<bigint>"
 
 
 def _running_median(x: np.ndarray, half: int) -> np.ndarray:
@@ -79,7 +93,7 @@ def judge(t_us: np.ndarray, value: np.ndarray, season: np.ndarray, low: float, h
     stay = np.where(dry, 1, stay)
     bad = (v < low) | (v > high)
     x = v if showery else v - s
-    use = ~bad & (stay < STUCK_MIN)
+    use = ~bad & (stay < max(HELD, 3 * np.quantile(stay[change], 0.99) if n else 0))
     z = np.zeros(len(v))
     if use.sum() >= 3:
         y = x[use]
@@ -91,7 +105,7 @@ def judge(t_us: np.ndarray, value: np.ndarray, season: np.ndarray, low: float, h
         coarse = showery or np.array_equal(v[use], np.round(v[use]))
         spread = max(spread, 0.3 if coarse else 0.05)
         q = r / spread
-        calm = np.abs(q) <= WATCH
+        calm = np.abs(q) <= CALM
         before, after = _sides(y, calm)
         hot = ~calm
         for side in (before, after):
@@ -110,59 +124,136 @@ def _pass(rows: pa.Table) -> pa.Table:
     low, high = POSSIBLE.get(unit, (-np.inf, np.inf))
     z, stay, bad, first = judge(t_us, value, season.astype(float), low, high, unit in SHOWERY)
     own = core & first
-    look = core & (bad | (np.abs(z) > WATCH) | (stay >= STUCK_MIN))
+    look = core & (bad | (np.abs(z) > WATCH) | (stay >= LEAST_STAY))
     n, extra = int(look.sum()), int(own.any())
-    hist = np.bincount(np.minimum(np.abs(z[own & ~bad & (stay < STUCK_MIN)]) / BIN, BINS - 1).astype(int), minlength=BINS)
-    stays = np.bincount(np.minimum(stay[own & np.r_[True, np.diff(value) != 0]], STAYS), minlength=STAYS + 1)
+    hist = np.bincount(np.minimum(np.abs(z[own & ~bad]) / BIN, BINS - 1).astype(int), minlength=BINS)
+    stays = np.bincount(np.minimum(stay[own & np.r_[True, np.diff(value) != 0]], STAYS - 1), minlength=STAYS)
+    both = np.concatenate([hist, stays])
+    bins = np.flatnonzero(both)
     nothing = [None] * extra
     columns = {
-        "sid": [sid] * (n + extra), "sample_id": rows["sample_id"].to_numpy()[look].tolist() + nothing, "z": np.abs(z[look]).tolist() + nothing, "stay": stay[look].tolist() + nothing, "bad": bad[look].tolist() + nothing,
-        "hist": [None] * n + [hist.tolist()] * extra, "stays": [None] * n + [stays.tolist()] * extra,
+        "sid": [sid] * (n + extra), "unit": [unit] * (n + extra), "sample_id": rows["sample_id"].to_numpy()[look].tolist() + nothing, "z": np.abs(z[look]).tolist() + nothing, "stay": stay[look].tolist() + nothing, "bad": bad[look].tolist() + nothing,
+        "bins": [None] * n + [bins.tolist()] * extra, "counts": [None] * n + [both[bins].tolist()] * extra,
     }
     return pa.table(columns, schema=_SCHEMA)
 
 
-def pareto_cut(hist: np.ndarray, risk: float = RISK) -> float:
-    """The deviation exceeded with probability `risk`, from a histogram of |z| by BIN, by peaks over a threshold.
+def _peaks(counts: np.ndarray) -> tuple[int, np.ndarray]:
+    """The threshold, the first bin beyond 1 - PEAKS of all, and the counts from it on."""
+    u = int(np.searchsorted(np.cumsum(counts), (1 - PEAKS) * counts.sum())) + 1
+    return u, counts[u:].astype(float)
+
+
+def _median_excess(counts: np.ndarray) -> tuple[int, float]:
+    u, w = _peaks(counts)
+    return u, float(np.searchsorted(np.cumsum(w), 0.5 * w.sum())) + 0.5 if w.sum() else 0.5
+
+
+def settled(counts: np.ndarray, start: float, level: Callable[[np.ndarray], float]) -> np.ndarray:
+    """counts without the bins from `start` on, then without those from the level of the rest on, until that stays the same. Faults are what lies beyond."""
+    top = start
+    for _ in range(30):
+        body = np.where(np.arange(len(counts)) < top, counts, 0)
+        new = level(body)
+        if abs(new - top) < 0.5:
+            break
+        top = new
+    return body
+
 
-    The threshold is the 95% quantile; deviations above MOST_CUT are left out of the fit, they are what is looked for.
-    """
-    mids = (np.arange(len(hist)) + 0.5) * BIN
-    body = np.where(mids < MOST_CUT, hist, 0).astype(float)
-    n = body.sum()
-    if n < 50:
-        return MOST_CUT
-    u_bin = int(np.searchsorted(np.cumsum(body), 0.95 * n)) + 1
-    over, w = mids[u_bin:] - u_bin * BIN, body[u_bin:]
+def pareto_shape(hist: np.ndarray) -> float:
+    """Shape of the generalised Pareto distribution of the peaks, by probability weighted moments, and two standard errors to the safe side; 0 (exponential) for too few."""
+    _, w = _peaks(hist)
     k = w.sum()
-    if k < 5:
-        return LEAST_CUT
+    if k < 50:
+        return 0.0
+    over = np.arange(len(w)) + 0.5
     mean = (over * w).sum() / k
-    below = (np.cumsum(w) - 0.5 * w) / k
-    a1 = (over * w * (1 - below)).sum() / k
-    xi = float(np.clip(2 - mean / (mean - 2 * a1), -0.1, 0.2)) if mean > 2 * a1 else 0.2
-    scale = mean * (1 - xi)
-    p = n * risk / k
-    cut = u_bin * BIN + (scale * (p**-xi - 1) / xi if abs(xi) > 1e-6 else -scale * np.log(p))
-    return float(np.clip(cut, LEAST_CUT, MOST_CUT))
+    a1 = (over * w * (1 - (np.cumsum(w) - 0.5 * w) / k)).sum() / k
+    return float(2 - mean / (mean - 2 * a1) + 2 / np.sqrt(k)) if mean > 2 * a1 else 0.0
+
+
+def pareto_level(hist: np.ndarray, shape: float, risk: float = RISK) -> float:
+    """The bin that a residual exceeds with probability `risk`, from the peaks of a histogram, their scale two standard errors to the safe side."""
+    u, w = _peaks(hist)
+    k = w.sum()
+    if not k:
+        return float(u)
+    scale = ((np.arange(len(w)) + 0.5) * w).sum() / k * (1 - shape) * (1 + 2 / np.sqrt(k))
+    p = hist.sum() * risk / k
+    return u + float(scale * (p**-shape - 1) / shape if abs(shape) > 1e-6 else -scale * np.log(p))
+
+
+def peaks_of(hist: np.ndarray, risk: float = RISK) -> np.ndarray:
+    """hist without what can't be of its tail, even were that exponential."""
+    u, m = _median_excess(hist)
+    return settled(hist, u + m / np.log(2) * np.log(PEAKS / risk), lambda h: pareto_level(h, 0.0, risk))
+
+
+def mean_stay(stays: np.ndarray, unit_mean: float = 1.0, prior: float = 0.0) -> tuple[int, float, float]:
+    """Threshold, number of stays beyond it, and their mean excess weighed with that of the unit."""
+    u, w = _peaks(stays)
+    k = w.sum()
+    mean = (((np.arange(len(w)) + 1) * w).sum() + prior * unit_mean) / (k + prior) if k + prior else 1.0
+    return u, float(k), max(float(mean), 1.02)
+
+
+def stay_level(stays: np.ndarray, unit_mean: float = 1.0, prior: float = 0.0, false: float = FALSE_STAYS) -> float:
+    """The length that `false` of all the stays would reach, by a geometric tail."""
+    u, k, mean = mean_stay(stays, unit_mean, prior)
+    return u + float(np.log(max(k, 1.0) / false) / -np.log(1 - 1 / mean))
+
+
+def stays_of(stays: np.ndarray, unit_mean: float = 1.0, prior: float = 0.0, false: float = FALSE_STAYS) -> np.ndarray:
+    """stays without those that can't be of their tail; first without those three times as long as nearly all."""
+    return settled(stays, 3.0 * (_peaks(stays)[0] + 2), lambda s: stay_level(s, unit_mean, prior, false))
+
+
+def unit_tails(hist: np.ndarray, stays: np.ndarray, stations: int, risk: float = RISK) -> tuple[float, float]:
+    """Shape of the residuals' tail and mean excess of the stays, of all stations of a unit together."""
+    return pareto_shape(peaks_of(hist, risk)), mean_stay(stays_of(stays, false=FALSE_STAYS * stations))[2]
+
+
+def cutoffs(hist: np.ndarray, stays: np.ndarray, shape: float, unit_mean: float, risk: float = RISK) -> tuple[float, int]:
+    """A station's cutoff in spreads, and the length from which a stay is a fault."""
+    cut = pareto_level(peaks_of(hist, risk), shape, risk) * BIN
+    return cut, int(np.ceil(stay_level(stays_of(stays, unit_mean, PRIOR), unit_mean, PRIOR)))
+
+
+def _split(pairs: list[dict]) -> tuple[np.ndarray, np.ndarray]:
+    both = np.zeros(BINS + STAYS, dtype=np.int64)
+    for p in pairs:
+        both[p["bin"]] = p["n"]
+    return both[:BINS], both[BINS:]
 
 
-def stuck_from(stays: np.ndarray) -> int:
-    """Length from which a stay is a fault: STUCK_MIN, or one and a half times the longest ordinary stay if that is more."""
-    ordinary = np.flatnonzero(stays[:STUCK_MIN])
-    return max(STUCK_MIN, int(np.ceil(1.5 * (ordinary.max() if len(ordinary) else 1))))
+def _fit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    of_unit: dict = {}
+    for batch in batches:
+        cuts = []
+        for unit, own, pooled, stations in zip(*(batch[c].to_pylist() for c in ("unit", "own", "pooled", "stations"))):
+            if unit not in of_unit:
+                of_unit[unit] = unit_tails(*_split(pooled), stations)
+            cuts.append(cutoffs(*_split(own), *of_unit[unit]))
+        yield pa.RecordBatch.from_arrays([batch["sid"], pa.array([c for c, _ in cuts], pa.float64()), pa.array([s for _, s in cuts], pa.int32())], names=["sid", "cut", "stuck"])
 
 
-def _fit(pdf: pd.DataFrame) -> pd.DataFrame:
-    hist = np.sum(np.stack(pdf["hist"].tolist()), axis=0)
-    stays = np.sum(np.stack(pdf["stays"].tolist()), axis=0)
-    return pd.DataFrame({"sid": [pdf["sid"].iat[0]], "cut": [pareto_cut(hist)], "stuck": [stuck_from(stays)]})
+def fitted(looked: DataFrame) -> DataFrame:
+    """sid, cut, stuck of every station, from the histograms of its shards and of all of its unit's; these are summed in the JVM, a station's bins are at most BINS + STAYS."""
+    one = looked.where("bins is not null").select("sid", "unit", F.explode(F.arrays_zip("bins", "counts")).alias("b"))
+    tails = written(one.groupBy("sid", "unit", F.col("b.bins").alias("bin")).agg(F.sum("b.counts").alias("n")), "tails")
+    pair = F.collect_list(F.struct("bin", "n"))
+    pooled = tails.groupBy("unit", "bin").agg(F.sum("n").alias("n"), F.count("*").alias("s")).groupBy("unit").agg(pair.alias("pooled"), F.max("s").alias("stations"))
+    own = tails.groupBy("sid", "unit").agg(pair.alias("own"))
+    pooled = dimension(pooled.withColumnRenamed("unit", "_u"))
+    rows = own.join(pooled, F.col("unit").eqNullSafe(F.col("_u"))).select("sid", "unit", "own", "pooled", "stations")
+    return written(rows.mapInArrow(_fit, "sid int, cut double, stuck int"), "cuts")
 
 
 def seasonal(rows: DataFrame) -> DataFrame:
     """Per station the 24 hourly medians of its possible values, gaps bridged by its overall mean of them."""
     hour = F.floor(F.pmod(F.col("t_us"), F.lit(86_400_000_000)) / 3_600_000_000).cast("int")
-    by_hour = rows.groupBy("sid", hour.alias("hour")).agg(F.percentile_approx("value", 0.5, 200).alias("m"))
+    by_hour = rows.groupBy("sid", hour.alias("hour")).agg(F.percentile_approx("value", 0.5, 10_000).alias("m"))
     p = by_hour.groupBy("sid").agg(F.map_from_entries(F.collect_list(F.struct("hour", "m"))).alias("by"), F.avg("m").alias("m"))
     return p.select("sid", F.transform(F.sequence(F.lit(0), F.lit(23)), lambda h: F.coalesce(F.try_element_at("by", h), "m")).alias("profile"))
 
@@ -185,7 +276,7 @@ def verdicts(samples: DataFrame, stations: DataFrame, pipelines: DataFrame) -> D
     halo = F.col("interval_s").cast("bigint") * (HALO_READINGS * 1_000_000)
     sharded = with_halo(rows.select("sid", "unit", "t_us", "sample_id", "value", "season", width.alias("w"), halo.alias("h")), F.col("w"), F.col("h")).drop("w", "h")
     looked = written(sharded.groupBy("sid", "shard").applyInArrow(_pass, OUT), "deviations")
-    cuts = dimension(looked.where("hist is not null").select("sid", "hist", "stays").groupBy("sid").applyInPandas(_fit, "sid int, cut double, stuck int"))
+    cuts = dimension(fitted(looked))
     kind = F.when(F.col("bad"), "impossible").when(F.col("stay") >= F.col("stuck"), "stuck").when(F.col("z") >= F.col("cut"), "spike")
     return looked.where("sample_id is not null").join(cuts, "sid").select("sample_id", kind.alias("kind"), "z", "stay").where("kind is not null")
 
