@@ -90,3 +90,11 @@ def test_odd_input(spark, stations):
     rows = [(1, "S1", "1741046400", 1.0, 1), (2, "S1", "1741046400", 1.0, 1), (3, "s_1", "1741048200", None, 1), (4, "S1", "1741048200", float("nan"), 1), (5, "S1", "1741048800", 3.0, 1)]
     s = spark.createDataFrame(rows, SAMPLES).withColumn("status", F.lit("x"))
     assert {(r["station_id"], r["slot_start"]) for r in p1_found(s, stations).collect()} == {("S1", 1741047000), ("S1", 1741047600), ("S1", 1741048200)}
+
+
+def test_long_gaps(spark):
+    rows = [(1, 60, 0, 1.0), (1, 60, 253_402_300_000_000_000, 2.0), (2, 60, 0, 1.0), (2, 60, 60_000_000 * 9000, 2.0)]
+    grid = regular_grid(spark.createDataFrame(rows, READ), shard_slots=16)
+    assert grid.where("sid = 1").limit(5).count() == 5  # of four thousand million slots
+    short = grid.where("sid = 2")
+    assert short.count() == 9001 == short.select("slot_start").distinct().count() and short.where("status = 'gap' and value is null").count() == 8999

@@ -7,7 +7,7 @@ slots, marked `gap` with a null value. A gap that long also ends the segment ove
 
 A station is cut into time shards of `shard_slots` slots, so no task holds a whole station. Tangents need one more
 reading beyond either end of a gap; the two first and two last slots of each shard are the halo that neighbours
-exchange (`_edges`), all the rest is computed inside the shard after one shuffle.
+exchange, all the rest is computed inside the shard after one shuffle. The slots of a gap are made piece by piece.
 
 Defined results: null or NaN values and unreadable timestamps are no readings; repeated rows weigh as often as they
 come; a station with one slot gives that slot; tied instants of one slot are averaged; interval_s null or not
@@ -20,6 +20,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from weirstone.readings import named, usable
+from weirstone.shared import written
 
 SHARD_SLOTS = 2048
 MAX_FILL = 12
@@ -59,10 +60,10 @@ def regular_grid(readings: DataFrame, max_fill: int = MAX_FILL, shard_slots: int
         F.coalesce("p", F.lag(point).over(along)).alias("p"), F.coalesce("b", F.lead(point).over(along)).alias("b"), F.coalesce("c", F.lead(point, 2).over(along)).alias("c"),
     )
     rows = shards.where(~edge).drop("second").unionByName(edges)
-    return _interpolated(rows, max_fill)
+    return _interpolated(rows, max_fill, shard_slots)
 
 
-def _interpolated(rows: DataFrame, max_fill: int) -> DataFrame:
+def _interpolated(rows: DataFrame, max_fill: int, shard_slots: int) -> DataFrame:
     a = {"slot": F.col("slot"), "x": F.col("x"), "v": F.col("v")}
     near = lambda p, q: (q["slot"] - p["slot"] - 1) <= max_fill
     P, B, C = F.col("p"), F.col("b"), F.col("c")
@@ -72,9 +73,11 @@ def _interpolated(rows: DataFrame, max_fill: int) -> DataFrame:
     m0 = F.when(has_p, _inner(h0, d0, h1, d1)).when(has_c, _end(h1, d1, h2, d2)).otherwise(d1)
     m1 = F.when(has_c, _inner(h1, d1, h2, d2)).when(has_p, _end(h1, d1, h0, d0)).otherwise(d1)
     gap = B["slot"] - F.col("slot") - 1
-    k = F.explode(F.sequence(F.col("slot"), F.coalesce(B["slot"] - 1, F.col("slot"))))
+    last = F.coalesce(B["slot"] - 1, F.col("slot"))
+    piece = F.greatest(F.lit(shard_slots).cast("bigint"), F.ceil(F.sqrt(last - F.col("slot"))))  # a gap is cut before it is filled, so no array is long
     fill = (gap > 0) & (gap <= max_fill)
-    out = rows.select("sid", "interval_s", "slot", "v", "n", "x", gap.alias("gap"), F.when(fill, h1).alias("h"), F.when(fill, m0).alias("m0"), F.when(fill, m1).alias("m1"), B["v"].alias("v1"), k.alias("k"))
+    out = rows.select("sid", "interval_s", "slot", "v", "n", "x", gap.alias("gap"), F.when(fill, h1).alias("h"), F.when(fill, m0).alias("m0"), F.when(fill, m1).alias("m1"), B["v"].alias("v1"), last.alias("last"), piece.alias("piece"), F.explode(F.sequence(F.col("slot"), last, piece)).alias("from"))
+    out = out.select("*", F.explode(F.sequence(F.col("from"), F.least(F.col("from") + F.col("piece") - 1, F.col("last")))).alias("k"))
     s = (F.col("k") + 0.5 - F.col("x")) / F.col("h")
     curve = (1 + 2 * s) * (1 - s) * (1 - s) * F.col("v") + s * (1 - s) * (1 - s) * F.col("h") * F.col("m0") + s * s * (3 - 2 * s) * F.col("v1") + s * s * (s - 1) * F.col("h") * F.col("m1")
     seen = F.col("k") == F.col("slot")
@@ -92,5 +95,6 @@ def p1_grid(samples: DataFrame, stations: DataFrame, max_fill: int = MAX_FILL) -
 
 
 def p1_found(samples: DataFrame, stations: DataFrame) -> DataFrame:
-    """Slots without a usable reading between a station's first and last one."""
-    return p1_grid(samples, stations).where("status != 'observed'").select("station_id", "slot_start")
+    """Slots without a usable reading between a station's first and last one: the filled and the marked ones of the grid, which is kept as a table."""
+    grid = written(regular_grid(usable(samples, stations)), "grid")
+    return named(grid.where("status != 'observed'").select("sid", "slot_start"), stations)
