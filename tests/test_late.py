@@ -38,7 +38,23 @@ def test_large_tree():
 
 def test_replay_cuts_off():
     rows = [(3600, 0, 2, 4.0, 1.0, 3.0, 60, 600), (3660, 0, 1, 5.0, 5.0, 5.0, 60, 600), (3661, 0, 1, 6.0, 6.0, 6.0, 60, 600), (4201, 0, 1, 9.0, 9.0, 9.0, 60, 600)]
-    assert list(replay(iter(rows))) == [(0, [3, 9.0, 1.0, 5.0], [4, 15.0, 1.0, 6.0], 1, 1)]
+    assert list(replay(iter(rows))) == [(0, [3, 9.0, 1.0, 5.0], [4, 15.0, 1.0, 6.0], 1, 1, [4, 15.0, 1.0, 6.0])]
+
+
+@settings(max_examples=100, deadline=None)
+@given(st.lists(st.tuples(st.integers(0, 90), st.integers(-3, 60), st.integers(-9, 9)), max_size=120))
+def test_replay_against_plain_sums(events):
+    """(hour, hours late, value) against sums by hour and day of all that isn't beyond the cut-off."""
+    grace, cutoff = 2 * 3600, 20 * 3600
+    rows = sorted((h * 3600 + 3600 + late * 3600, h * 3600, 1, float(v), float(v), float(v), grace, cutoff) for h, late, v in events)
+    kept = [(p, v) for a, p, _, v, *_ in rows if a - p - 3600 <= cutoff]
+    for period, first, fin, n_late, n_cut, day in replay(iter(rows)):
+        mine, whole = [v for p, v in kept if p == period], [v for p, v in kept if p // 86400 == period // 86400]
+        assert (fin or [0])[0] == len(mine) and (day or [0])[0] == len(whole)
+        assert not mine or fin == [len(mine), sum(mine), min(mine), max(mine)]
+        assert not whole or day == [len(whole), sum(whole), min(whole), max(whole)]
+        assert (first or [0])[0] + n_late == len(mine)
+        assert n_cut == sum(p == period and a - p - 3600 > cutoff for a, p, *_ in rows)
 
 
 def test_statuses(spark, stations):

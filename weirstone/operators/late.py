@@ -1,12 +1,13 @@
-"""Problem 3: hourly aggregates by event time, corrected by late readings up to a cut-off.
+"""Problem 3: hourly and daily aggregates by event time, corrected by late readings up to a cut-off.
 
 Every period of a station is first published when `grace_s` have passed since its end and corrected by what arrives
 until `cutoff_s`; what comes later is counted but changes nothing. Lag is `window_end` of the batch minus the end of
 the period.
 
 Readings are laid out by (station, span of event time), repeats are dropped there, and rows shrink to one partial per
-period and batch before they reach Python. There each span's partials enter a finger B-tree in order of arrival; the
-cut-off evicts closed periods in bulk, and whatever still comes for an evicted period is `cut_off`.
+period and batch before they reach Python. There each span's partials enter a finger B-tree in order of arrival. Once the
+cut-off has closed all of a day (UTC), its figures are read off the inner partials by one range query, and the day is
+evicted in bulk. Which of the statuses a reading has follows from its lag alone; the tree gives the figures.
 
 Defined results: rows without an instant or a value don't count; repeats (within 3 s of a row with a smaller
 sample_id) are left out; a null window_end or pipeline rule makes a reading on time.
@@ -27,19 +28,32 @@ from weirstone.shared import dimension
 
 PERIOD_S = 3600
 SPAN_US = 14 * 86_400_000_000
-HOURLY = "sid int, period_start bigint, n_first bigint, mean_first double, n_final bigint, mean_final double, min_final double, max_final double, n_corrected bigint, n_cut_off bigint"
+DAY_S = 86_400
+RAW = "sid int, period_start bigint, n_first bigint, total_first double, n_final bigint, total_final double, min_final double, max_final double, n_corrected bigint, n_cut_off bigint, n_day bigint, total_day double, min_day double, max_day double"
+_NONE = (0, None, None, None)
 
 
-def replay(arrivals: Iterator[tuple], period_s: int = PERIOD_S) -> Iterator[tuple]:
+def replay(arrivals: Iterator[tuple], period_s: int = PERIOD_S, day_s: int = DAY_S) -> Iterator[tuple]:
     """arrivals: (arrived, period, n, sum, min, max, grace, cutoff), in order of arrival, arrived null for unknown.
 
-    Gives (period, first partial, final partial, n corrected, n cut off) once a period is closed, by period.
+    Gives (period, first partial, final partial, n corrected, n cut off, final partial of the day) by period.
     """
     tree = FingerTree()
     first: dict = {}
     fixed: dict = {}
     late: dict = {}
     dropped: dict = {}
+    days: dict = {}
+
+    def close(upto: int | None) -> None:
+        """Takes the days before `upto` (all for None) out of the tree."""
+        while (least := tree.least()) is not None:
+            day = least // day_s * day_s
+            if upto is not None and day + day_s > upto:
+                return
+            days[day] = tree.range(day, day + day_s)
+            fixed.update(tree.evict_below(day + day_s))
+
     for arrived, period, n, total, low, high, grace, cutoff in arrivals:
         part = [n, total, low, high]
         if arrived is None or grace is None or cutoff is None:
@@ -47,9 +61,7 @@ def replay(arrivals: Iterator[tuple], period_s: int = PERIOD_S) -> Iterator[tupl
             tree.add(period, part)
             continue
         bound = arrived - cutoff - period_s  # periods that start below it are closed
-        least = tree.least()
-        if least is not None and least < bound:
-            fixed.update(tree.evict_below(bound))
+        close(-(-bound // period_s) * period_s)
         if period < bound:
             dropped[period] = dropped.get(period, 0) + n
             continue
@@ -58,24 +70,21 @@ def replay(arrivals: Iterator[tuple], period_s: int = PERIOD_S) -> Iterator[tupl
         else:
             first[period] = fold(first.get(period), part)
         tree.add(period, part)
-    for period, part in tree.items():
-        fixed[period] = fold(fixed.get(period), part)
+    close(None)
     for period in sorted(fixed.keys() | dropped.keys()):
-        yield period, first.get(period), fixed.get(period), late.get(period, 0), dropped.get(period, 0)
+        yield period, first.get(period), fixed.get(period), late.get(period, 0), dropped.get(period, 0), days.get(period // day_s * day_s)
 
 
-def _spans(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    for pdf in batches:
-        pdf = pdf.sort_values(["arrived", "period"], na_position="first", kind="stable")
-        cols = [pdf[c].astype(object).where(pdf[c].notna(), None).tolist() if c in ("arrived", "grace_s", "cutoff_s") else pdf[c].tolist() for c in ("arrived", "period", "n", "total", "low", "high", "grace_s", "cutoff_s")]
-        rows = []
-        for period, one, fin, n_late, n_cut in replay(zip(*cols)):
-            rows.append((pdf["sid"].iat[0], period, one[0] if one else 0, one[1] / one[0] if one else None, fin[0] if fin else 0, fin[1] / fin[0] if fin else None, fin[2] if fin else None, fin[3] if fin else None, n_late, n_cut))
-        yield pd.DataFrame(rows, columns=[c.split()[0] for c in HOURLY.split(", ")])
+def _span(pdf: pd.DataFrame) -> pd.DataFrame:
+    pdf = pdf.sort_values(["arrived", "period"], na_position="first", kind="stable")
+    cols = [pdf[c].astype(object).where(pdf[c].notna(), None).tolist() if c in ("arrived", "grace_s", "cutoff_s") else pdf[c].tolist() for c in ("arrived", "period", "n", "total", "low", "high", "grace_s", "cutoff_s")]
+    sid = pdf["sid"].iat[0]
+    rows = [(sid, period, *(one or _NONE)[:2], *(fin or _NONE), n_late, n_cut, *(day or _NONE)) for period, one, fin, n_late, n_cut, day in replay(zip(*cols))]
+    return pd.DataFrame(rows, columns=[c.split()[0] for c in RAW.split(", ")])
 
 
 def hourly(samples: DataFrame, stations: DataFrame, windows: DataFrame, pipelines: DataFrame) -> DataFrame:
-    """One row per station (sid) and period with at least one usable reading, late or not."""
+    """One row per station (sid) and period with at least one usable reading, late or not: first and final figures, numbers of late readings, final figures of the day."""
     ends = dimension(windows.select("window_id", F.ceil(F.timestamp_diff("MICROSECOND", F.lit("1970-01-01 00:00:00").cast("timestamp_ntz"), F.col("window_end").cast("timestamp_ntz")) / 1e6).alias("arrived")).dropDuplicates(["window_id"]))
     rules = dimension(pipelines.select("pipeline", "grace_s", "cutoff_s").dropDuplicates(["pipeline"]))
     rows = readable(samples, stations).select("sid", "pipeline", "t_us", "sample_id", "value", "window_id")
@@ -85,7 +94,9 @@ def hourly(samples: DataFrame, stations: DataFrame, windows: DataFrame, pipeline
     period = F.floor(F.col("t_us") / (PERIOD_S * 1_000_000)) * PERIOD_S
     parts = kept.groupBy("sid", "shard", "pipeline", period.alias("period"), "arrived").agg(F.count("*").alias("n"), F.sum("value").alias("total"), F.min("value").alias("low"), F.max("value").alias("high"))
     parts = parts.join(rules, "pipeline", "left").select("sid", "shard", "period", "arrived", "n", "total", "low", "high", "grace_s", "cutoff_s")
-    return parts.groupBy("sid", "shard").applyInPandas(lambda pdf: pd.concat(_spans(iter([pdf]))), HOURLY)
+    raw = parts.groupBy("sid", "shard").applyInPandas(_span, RAW)
+    mean = lambda of: (F.round(f"total_{of}", 6) / F.col(f"n_{of}")).alias(f"mean_{of}")
+    return raw.select("sid", "period_start", "n_first", mean("first"), "n_final", mean("final"), "min_final", "max_final", "n_corrected", "n_cut_off", "n_day", mean("day"), "min_day", "max_day")
 
 
 def p3_hourly(samples: DataFrame, stations: DataFrame, windows: DataFrame, pipelines: DataFrame) -> DataFrame:
