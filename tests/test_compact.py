@@ -61,6 +61,24 @@ def test_whole_records_are_kept_and_verified(spark, tmp_path, monkeypatch):
     assert not (tmp_path / "changed").exists()
 
 
+def test_bins_are_sized_by_output(spark, tmp_path):
+    """Files compress well, so a bin takes many more bytes of input than it writes, and no bin is empty of files."""
+    commits = spark.createDataFrame([(i, i % 3, "r", "main", "redacted", None, None, _file(range(50 * i, 50 * i + 50)), 200, None) for i in range(200)], COMMITS)
+    report = compact.compact(commits, _windows(spark), str(tmp_path / "out"), 20_000).collect()
+    sizes = [sum(f.stat().st_size for f in d.glob("*.parquet")) for d in (tmp_path / "out").glob("pipeline=*/bin=*")]
+    assert 2 < len(report) == len(sizes) and sum(r["n_records"] for r in report) == 10_000
+    assert max(sizes) < 60_000 and max(r["bytes_in"] for r in report) > 40_000
+
+
+def test_a_changed_source_is_refused(spark, tmp_path, monkeypatch):
+    commits, other = _commits(spark), _commits(spark).withColumn("content", F.when(F.col("commit_id") == 8, F.lit(b"x")).otherwise(F.col("content")))
+    turns = iter([compact.stored(commits), compact.stored(other)])
+    monkeypatch.setattr(compact, "stored", lambda _: next(turns))
+    with pytest.raises(RuntimeError, match="source"):
+        compact.compact(commits, _windows(spark), str(tmp_path / "out"))
+    assert not (tmp_path / "out").exists()
+
+
 @settings(max_examples=100, deadline=None)
 @given(st.lists(st.integers(0, 120), max_size=60))
 def test_first_fit_decreasing(sizes):
