@@ -1,20 +1,30 @@
+import base64
+import io
 import json
+import os
+import signal
 import threading
-from datetime import UTC, datetime
+from datetime import datetime
 
+import pyarrow as pa
+import pyarrow.parquet as pq
 import pytest
 from pyspark.sql import functions as F
-from pyspark.sql.types import DoubleType, LongType, StringType, StructField, StructType
+from pyspark.sql.types import DoubleType, LongType, StringType, StructField, StructType, TimestampType
 
-from weirstone.commit import CommitAction
-from weirstone.model import DownstreamError, FlushPolicy, RejectedError, TeeError, WindowMeta, checked_name, object_path
+from weirstone.commit import CommitAction, CommitResponse, CommitSink, encode, summary_of
+from weirstone.functions import scalar
+from weirstone.model import DownstreamError, EncodeError, FlushPolicy, RejectedError, SignalSetupError, TeeError, TransportError, WindowMeta, checked_name, object_path
 from weirstone.operators import dedupe, windows
+from weirstone.operators.footprint import SAMPLE as SAMPLE_OF_PROCESS
+from weirstone.operators.footprint import read_samples, write_footprint
 from weirstone.sinks import Buffered, DiskSpool, MemorySink, ParquetSink, Tee, landed, tee_batch
-from weirstone.sources.collector import FunctionCollector, TickSource, load_config
+from weirstone.sources.collector import FunctionCollector, ProcessSampler, TickSource, load_config
 from weirstone.sources.spool import parsed, read_segments
 from weirstone.streaming.dedupe import consecutive_stream
+from weirstone.streaming.flow import LandedPipeline
 from weirstone.streaming.landing import Landing, hourly_writer
-from weirstone.streaming.runtime import Pipeline, Supervisor
+from weirstone.streaming.runtime import Pipeline, Supervisor, ticks
 
 META = WindowMeta.at("p", 0, 60)
 
@@ -203,26 +213,191 @@ def test_parquet_round_trip_and_no_clobber(spark, tmp_path):
     assert spark.read.parquet(str(tmp_path / "e")).schema == SAMPLE
 
 
-def test_commit():
-    c = CommitAction("org/data", "main", "secret", "sum", "data/x.parquet", b"PARQUET")
-    r = c.request("https://hub.test")
-    assert (r.method, r.url) == ("POST", "https://hub.test/api/datasets/org/data/commit/main") and "secret" not in repr(r) + repr(c)
-    head, file = map(json.loads, r.body.decode().splitlines())
-    assert head == {"key": "header", "value": {"summary": "sum"}} and file["value"] == {"path": "data/x.parquet", "content": "UEFSUVVFVA==", "encoding": "base64"}
-    assert CommitAction.decode(200, b'{"commitUrl":"u","commitOid":"abc123"}').commit_oid == "abc123"
-    with pytest.raises(RejectedError) as e:
-        CommitAction.decode(401, b"Invalid credentials\xff")
-    assert e.value.status == 401
-    with pytest.raises(ValueError):
-        CommitAction("..", "main", "t").request("https://hub.test")
+ARROW = pa.schema([pa.field("station_id", pa.string(), False), pa.field("value", pa.float64())])
+
+
+class Remote:
+    """Answers as told and keeps what it was sent."""
+
+    def __init__(self, *answers):
+        self.answers, self.sent = list(answers), []
+
+    def send(self, request):
+        answer = self.answers.pop(0) if self.answers else (200, b"{}")
+        if isinstance(answer, Exception):
+            raise answer
+        self.sent.append(request)
+        return answer
+
+
+def _file_of(request):
+    return [json.loads(line)["value"] for line in request.body.decode().splitlines()][1]
+
+
+def test_a_commit_is_two_lines_and_hides_its_token():
+    c = CommitAction("lab/tides", "draft", "t0ken-7", "why", "data/tide/1999-12-31/23.parquet", bytes(range(256)))
+    r = c.request("http://remote.invalid/")
+    assert r.method == "POST" and r.url.endswith("/lab/tides/commit/draft") and r.headers["authorization"].endswith("t0ken-7") and "t0ken-7" not in repr(r) + repr(c)
+    lines = [json.loads(x) for x in r.body.decode().splitlines()]
+    assert [x["key"] for x in lines] == ["header", "file"] and lines[0]["value"]["summary"] == "why"
+    assert base64.b64decode(_file_of(r)["content"]) == bytes(range(256)) and _file_of(r)["path"].endswith("/23.parquet")
+    for repo, branch in (("..", "main"), ("lab/a b", "main"), ("lab/tides", "x/y")):
+        with pytest.raises(ValueError):
+            CommitAction(repo, branch, "t").request("http://remote.invalid")
+
+
+def test_answers():
+    assert CommitAction.decode(201, b"") == CommitResponse(None, None)
+    assert CommitAction.decode(200, b'{"commitOid": "77", "commitUrl": "http://remote.invalid/77", "more": 1}') == CommitResponse("http://remote.invalid/77", "77")
+    for status in (199, 302, 409, 500):
+        with pytest.raises(RejectedError) as e:
+            CommitAction.decode(status, b"no\xfe")
+        assert e.value.status == status and e.value.body == "no\ufffd"
+
+
+def test_encode():
+    rows = [{"station_id": "S9", "value": 0.5, "more": 1}, {"station_id": "S8"}]
+    assert pq.read_table(io.BytesIO(encode(rows, ARROW))).to_pylist() == [{"station_id": "S9", "value": 0.5}, {"station_id": "S8", "value": None}]
+    assert pq.read_table(io.BytesIO(encode([], ARROW))).num_rows == 0
+    for bad in ([{"station_id": "S9", "value": "much"}], [{"value": 1.0}], ["text"]):
+        with pytest.raises(EncodeError):
+            encode(bad, ARROW)
+
+
+def test_commit_sink_sends_and_says_what_failed():
+    remote = Remote((200, b'{"commitOid": "1"}'), OSError("unplugged"), (503, b"later"))
+    sink = CommitSink("http://remote.invalid", "lab/tides", "main", "t", ARROW, remote)
+    sink.ingest(META, [])
+    assert remote.sent == []
+    sink.ingest(META, [{"station_id": "S9", "value": 1.0}])
+    assert sink.last.commit_oid == "1" and pq.read_table(io.BytesIO(base64.b64decode(_file_of(remote.sent[0])["content"]))).num_rows == 1
+    assert _file_of(remote.sent[0])["path"] == object_path(META) and json.loads(remote.sent[0].body.splitlines()[0])["value"]["summary"] == summary_of(META)
+    for error in (TransportError, RejectedError):
+        with pytest.raises(error):
+            sink.ingest(META, [{"station_id": "S9"}])
+    with pytest.raises(EncodeError):
+        sink.ingest(META, [{"value": 2.0}])
+
+
+def test_commit_sink_below_spool_and_tee(tmp_path):
+    remote, clock, other = Remote((500, b"")), Clock(), MemorySink()
+    stack = CommitSink("http://remote.invalid", "lab/tides", "main", "t", ARROW, remote).spooled(str(tmp_path / "tide"), FlushPolicy(100), clock).tee(other)
+    stack.ingest(META, [{"station_id": "S1", "value": 1.0}])
+    clock.now = 150
+    stack.ingest(META, [{"station_id": "S2", "value": 2.0}])  # the first window is refused and stays
+    clock.now = 250
+    stack.ingest(META, [{"station_id": "S3", "value": 3.0}])
+    stack.flush()
+    got = [r["station_id"] for x in remote.sent[1:] for r in pq.read_table(io.BytesIO(base64.b64decode(_file_of(x)["content"]))).to_pylist()]
+    assert got == ["S1", "S2", "S3"] and len(other.records()) == 3
 
 
 def test_paths_names_windows():
-    assert object_path(WindowMeta("air_temperature", datetime(2026, 6, 12, 8, tzinfo=UTC), datetime(2026, 6, 12, 9, tzinfo=UTC))) == "data/air_temperature/2026-06-12/08.parquet"
-    for bad in ("", "..", "a/b", "a b"):
+    new_year = WindowMeta.at("tide", 946_681_200, 946_684_800)
+    assert object_path(new_year) == "data/tide/1999-12-31/23.parquet"
+    assert summary_of(new_year).count("tide") == 1 and "1999-12-31T23:00:00Z" in summary_of(new_year) and "2000-01-01T00:00:00Z" in summary_of(new_year)
+    for bad in ("", ".", "..", "tide/gauge", "tide gauge", "tide\n"):
         with pytest.raises(ValueError):
             checked_name(bad)
-    assert [FlushPolicy(3600).align(x) for x in (-1, 0, 3599, 3600)] == [-3600, 0, 0, 3600] and FlushPolicy(0.2).window_secs() == 1
+    assert [FlushPolicy(700).align(x) for x in (-701, -700, 6, 699, 700)] == [-1400, -700, 0, 0, 700] and FlushPolicy(0.2).window_secs() == 1
+
+
+def test_column_functions(spark):
+    row = spark.sql("select timestamp_ntz'2001-02-03 04:05:06' as t, array(1.0D, 2.0D, 3.0D) as v").select(
+        scalar.rfc3339(F.col("t")).alias("t"), *[scalar.last_part(F.lit(p)).alias(f"p{i}") for i, p in enumerate(["/a/b", "/a/b/", "c", "", "/"])],
+        *[scalar.nearest(F.col("v"), F.lit(x), F.lit(10.0)).alias(f"n{i}") for i, x in enumerate([-5.0, 4.9, 5.0, 99.0])], *[scalar.spare_ratio(F.lit(x)).alias(f"s{x}") for x in (0, 3, 200)],
+    ).first()
+    assert list(row) == ["2001-02-03T04:05:06Z", "b", "b", "c", "unknown", "unknown", 1.0, 1.0, 2.0, 3.0, 0, 33, 0]
+
+
+def test_process_sampler():
+    (row,) = ProcessSampler(os.getpid()).collect()
+    assert row["rss"] > 1000 and row["cpu"] >= 0 and row["ts"].endswith("Z")
+    assert ProcessSampler(2**22 + 1).collect() == []
+
+
+def test_signals_outside_the_main_thread():
+    caught = []
+
+    def run():
+        try:
+            Supervisor().run(signals=True)
+        except SignalSetupError as e:
+            caught.append(e)
+
+    t = threading.Thread(target=run)
+    t.start()
+    t.join()
+    assert len(caught) == 1
+
+
+def test_signals_stop_a_supervisor():
+    before = signal.getsignal(signal.SIGTERM), signal.getsignal(signal.SIGINT)
+    try:
+        collector = FunctionCollector("p", lambda: os.kill(os.getpid(), signal.SIGTERM) or [1])
+        sink = MemorySink()
+        (out,) = Supervisor().pipeline(lambda: Pipeline(collector, sink, 0.05)).run(signals=True)
+        assert out.builds == 1 and sink.flushed
+    finally:
+        signal.signal(signal.SIGTERM, before[0])
+        signal.signal(signal.SIGINT, before[1])
+
+
+def test_ticks_do_not_drift():
+    clock, waits = Clock(), []
+
+    def wait(stop, seconds):
+        waits.append(seconds)
+        clock.now += seconds
+        return len(waits) == 4
+
+    starts = []
+    for n in ticks(threading.Event(), 10, clock, wait):
+        starts.append(clock.now)
+        clock.now += 3 if n != 2 else 24  # the second tick misses two
+    assert starts == [0, 10, 40, 50] and waits[:2] == [7, 6]
+
+
+def test_footprint(spark, tmp_path):
+    lines = [json.dumps({"ts": f"{i:04d}", "cpu": i % 7 + 0.125, "rss": 1024 * (i % 3)}) for i in range(250)] + ['{"ts": "x", "cpu": null, "rss": 5}', '{"cpu": 1, "r', "", '{"ts": "y", "rss": 1}']
+    (tmp_path / "samples.jsonl").write_text("\n".join(lines))
+    write_footprint(read_samples(spark, str(tmp_path / "samples.jsonl")), ["ts"], str(tmp_path / "out.json"))
+    doc = json.loads((tmp_path / "out.json").read_text())
+    assert doc["samples"] == 250 and doc["duration_label"] == "8 min" and doc["cpu"]["peak"] == 6.13 and doc["cpu"]["unit"] == "%" and doc["rss"] == {"avg_mb": 1.0, "peak_mb": 2.0}
+    assert len(doc["chart"]) == 84 and doc["chart"][:2] == [{"t": 0, "cpu": 2.13, "rss": 1.0}, {"t": 6, "cpu": 5.13, "rss": 1.0}]
+    with pytest.raises(FileNotFoundError):
+        read_samples(spark, str(tmp_path / "none.jsonl"))
+    with pytest.raises(ValueError):
+        write_footprint(spark.createDataFrame([], SAMPLE_OF_PROCESS), ["ts"], str(tmp_path / "no.json"))
+
+
+def test_landed_pipeline(spark, tmp_path):
+    """Polls land, the stream dedupes consecutive ticks and writes hours; a pipeline built anew goes on where the last one ended."""
+    schema = StructType([StructField("k", StringType()), StructField("at", TimestampType())])
+    row = lambda k, hour: {"k": k, "at": f"2025-01-01T{hour:02d}:30:00Z"}
+    answers = iter([[row("a", 1), row("b", 1)], OSError("down"), [row("a", 1), row("c", 2)], [], [row("a", 3)], [row("a", 3), row("d", 3)]])
+
+    def fetch():
+        answer = next(answers)
+        if isinstance(answer, Exception):
+            raise answer
+        return answer
+
+    def run(polls):
+        left = [polls]
+
+        def wait(stop, seconds):
+            left[0] -= 1
+            return left[0] <= 0
+
+        p = LandedPipeline(spark, FunctionCollector("p", fetch), Landing(str(tmp_path), "p"), schema, "at", str(tmp_path / "out"), 60, ("k",), every=2, clock=Clock(), wait=wait)
+        Supervisor().pipeline(lambda: p).run()
+        assert p.errors == []
+
+    run(3)
+    run(3)
+    got = sorted((r["k"], r["tick"], r["hour"]) for r in spark.read.schema("k string, tick bigint, hour string").parquet(str(tmp_path / "out")).collect())
+    assert got == [("a", 1, "01"), ("a", 4, "03"), ("b", 1, "01"), ("c", 2, "02"), ("d", 5, "03")]
 
 
 def test_config():

@@ -6,12 +6,12 @@ import re
 from dataclasses import dataclass
 from datetime import UTC, datetime
 
-_NAME = re.compile(r"^[A-Za-z0-9_.-]+$")
+_NAME = re.compile(r"[A-Za-z0-9_.-]+")
 
 
 def checked_name(name: str, what: str = "name") -> str:
     """A name that is safe as a path segment."""
-    if not _NAME.match(name or "") or name in (".", ".."):
+    if not _NAME.fullmatch(name or "") or name in (".", ".."):
         raise ValueError(f"{what} {name!r} is not a plain path segment")
     return name
 
@@ -90,3 +90,15 @@ class RejectedError(Exception):
     def __init__(self, status: int, body: str) -> None:
         super().__init__(f"status {status}: {body}")
         self.status, self.body = status, body
+
+
+class EncodeError(Exception):
+    """Rows that the schema can't hold."""
+
+
+class TransportError(Exception):
+    """A request that got no answer."""
+
+
+class SignalSetupError(Exception):
+    """The signals that stop a supervisor can't be caught here."""

@@ -41,3 +41,10 @@ def downsampled(samples: DataFrame, order: list[str], value: str, points: int =
 def peak_point(points: DataFrame, value: str, t: str) -> DataFrame:
     """The row of the highest value, the first of equals."""
     return points.agg(F.max_by(F.struct(*points.columns), F.struct(F.col(value), -F.col(t))).alias("r")).select("r.*")
+
+
+def tick_metrics(fetched: DataFrame, fresh: DataFrame, tick: str = "tick") -> DataFrame:
+    """tick, fetched, fresh: how many rows each tick brought, and how many of them the dedupe let through."""
+    all_ = fetched.groupBy(tick).agg(F.count("*").alias("fetched"))
+    new = fresh.groupBy(tick).agg(F.count("*").alias("fresh"))
+    return all_.join(new, tick, "left").select(tick, "fetched", F.coalesce("fresh", F.lit(0)).alias("fresh"))

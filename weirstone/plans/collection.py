@@ -6,11 +6,13 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, LongType, StringType, StructField, StructType
 
-from weirstone.functions.scalar import backoff, base64_plain, duration_label, linear_scale, time_label
-from weirstone.operators import buffer, dedupe, reshape, stats, windows
+from weirstone.commit import payloads
+from weirstone.functions.scalar import backoff, duration_label, linear_scale, time_label
+from weirstone.operators import buffer, dedupe, footprint, reshape, stats, windows
 from weirstone.operators.dedupe import hour_of
 from weirstone.shared import shared_path, table
-from weirstone.sources.spool import parsed
+from weirstone.sinks import ParquetSink, landed
+from weirstone.sources.spool import closed, parsed
 from weirstone.streaming.dedupe import consecutive_stream
 
 KEY = ("user_id", "event_type")
@@ -31,19 +33,18 @@ def dedupe_consecutive(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def dedupe_streaming(spark: SparkSession, folder: str) -> DataFrame:
-    """The same through a stream: ticks land in four parts and are read one after the other, state in between."""
+    """The same through a stream: ticks land in four parts, which are four micro-batches in order, with state in between."""
     rows = _ticked(spark, folder).withColumnRenamed("event_id", "pos")
     root = shared_path(spark, "stream")
     ends = rows.agg(F.min("tick").alias("lo"), F.max("tick").alias("hi")).first()
-    for part in range(4 if ends["lo"] is not None else 0):
+    if ends["lo"] is None:
+        return rows.select(F.col("pos").alias("event_id"), "tick")
+    for part in range(4):
         step = (ends["hi"] - ends["lo"]) // 4 + 1
         low = ends["lo"] + part * step
-        rows.where((F.col("tick") >= low) & (F.col("tick") < low + step)).write.mode("append").parquet(f"{root}/in/{part}")
-    stream = spark.readStream.schema(rows.schema).parquet(f"{root}/in/*") if ends["lo"] is not None else None
-    if stream is None:
-        return rows.select(F.col("pos").alias("event_id"), "tick")
-    query = consecutive_stream(stream, KEY).writeStream.format("parquet").option("path", f"{root}/out").option("checkpointLocation", f"{root}/state").trigger(availableNow=True).start()
-    query.awaitTermination()
+        rows.where((F.col("tick") >= low) & (F.col("tick") < low + step)).write.mode("append").parquet(f"{root}/in")
+        stream = spark.readStream.schema(rows.schema).parquet(f"{root}/in")  # goes on where the checkpoint ends
+        consecutive_stream(stream, KEY).writeStream.format("parquet").option("path", f"{root}/out").option("checkpointLocation", f"{root}/state").trigger(availableNow=True).start().awaitTermination()
     return spark.read.schema(rows.schema).parquet(f"{root}/out").select(F.col("pos").alias("event_id"), "tick")
 
 
@@ -151,18 +152,15 @@ def missing_field_skipped(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def parquet_round_trip(spark: SparkSession, folder: str) -> DataFrame:
-    path = shared_path(spark, "landing")
-    e = _events(spark, folder).withColumn("date", F.date_format("ts", "yyyy-MM-dd")).withColumn("hour", F.date_format("ts", "HH"))
-    e.repartition("date").write.partitionBy("date").parquet(path)
-    schema = StructType([*[f for f in e.schema.fields if f.name != "date"]]).add("date", "string")
-    return spark.read.schema(schema).parquet(path).select("event_id", "value", "date", "hour")
+    e = _events(spark, folder).select("event_id", "value", "ts")
+    sink = ParquetSink(spark, shared_path(spark, "landing"), e.schema)
+    sink.land(e, "events", "ts")
+    return landed(spark, sink.path, sink.schema).select("event_id", "value", "date", "hour")
 
 
 def commit_payload(spark: SparkSession, folder: str) -> DataFrame:
-    w = object_paths(spark, folder)
-    content = base64_plain(F.encode(F.concat("pipeline", F.lit("|"), "path"), "UTF-8"))
-    payload = F.concat(F.lit('{"key":"file","value":{"path":"'), "path", F.lit('","content":"'), content, F.lit('","encoding":"base64"}}'))
-    return w.select("pipeline", "window_start", payload.alias("payload"))
+    files = object_paths(spark, folder).withColumn("content", F.encode(F.concat("pipeline", F.lit("|"), "path"), "UTF-8"))
+    return payloads(files, "path", "content").select("pipeline", "window_start", "payload")
 
 
 def _samples(spark: SparkSession, folder: str) -> DataFrame:
@@ -200,17 +198,22 @@ def scaled_values(spark: SparkSession, folder: str) -> DataFrame:
     return _events(spark, folder).select("event_id", F.round(linear_scale(F.col("value"), (0.0, 200.0), (0.0, 1.0)), 6).alias("x"))
 
 
+def footprint_document(spark: SparkSession, folder: str) -> DataFrame:
+    """The document's figures flat, and its chart as text."""
+    e = _events(spark, folder).select("event_id", "ts", F.round("value", 2).alias("cpu"), (F.col("user_id") * 37.0).alias("rss"))
+    doc = footprint.footprint(e, ["ts", "event_id"])
+    chart = F.array_join(F.transform("chart", lambda p: F.concat_ws(":", p["t"].cast("string"), (p["cpu"] * 100).cast("bigint").cast("string"), F.round(p["rss"] * 10).cast("bigint").cast("string"))), ",")
+    return doc.select("samples", "duration_label", F.col("cpu.avg").alias("cpu_avg"), F.col("cpu.peak").alias("cpu_peak"), F.col("rss.avg_mb").alias("rss_avg"), F.col("rss.peak_mb").alias("rss_peak"), F.size("chart").alias("points"), chart.alias("chart"))
+
+
 def tick_metrics(spark: SparkSession, folder: str) -> DataFrame:
-    """fetched and fresh rows by tick."""
-    fetched = _ticked(spark, folder).groupBy("tick").agg(F.count("*").alias("fetched"))
-    fresh = dedupe_consecutive(spark, folder).groupBy("tick").agg(F.count("*").alias("fresh"))
-    return fetched.join(fresh, "tick", "left").select("tick", "fetched", F.coalesce("fresh", F.lit(0)).alias("fresh"))
+    return stats.tick_metrics(_ticked(spark, folder), dedupe_consecutive(spark, folder))
 
 
 def closed_windows(spark: SparkSession, folder: str) -> DataFrame:
     w = _windows(spark, folder)
     newest = w.groupBy("pipeline").agg(F.max("window_start").alias("active"))
-    return w.join(newest, "pipeline").where("window_start != active").select("pipeline", "window_start")
+    return closed(w.join(newest, "pipeline"), F.col("active")).select("pipeline", "window_start")
 
 
 QUERIES = {
@@ -218,7 +221,7 @@ QUERIES = {
     for f in (
         dedupe_consecutive, dedupe_streaming, dedupe_in_batch, dedupe_no_key, dedupe_with_failed_and_empty_ticks, window_assign, window_counts, buffered_segments, spool_segments, object_paths, path_collisions, last_writer_wins, flush_order,
         lookup_join, flatten_nested, unpivot_regions, status_filter, tee_union, jsonl_round_trip, torn_lines, missing_field_skipped, parquet_round_trip, commit_payload, stats_summary, downsample_120, peak_point, duration_labels,
-        valid_samples, backoff_schedule, scaled_values, tick_metrics, closed_windows,
+        valid_samples, backoff_schedule, scaled_values, footprint_document, tick_metrics, closed_windows,
     )
 }
 
@@ -274,6 +277,11 @@ ORACLES = {
     "valid_samples": "select event_id from events where event_id % 3 <> 0 and event_id % 5 <> 0 and value is not null and not isnan(value)",
     "backoff_schedule": "select cast(f as bigint) as failures, cast(pow(2, least(f - 1, 16)) as double) as delay_s from range(1, 31) t(f)",
     "scaled_values": "select event_id, round(value * (1.0 / 200.0), 6) as x from events",
+    "footprint_document": """with e as (select round(value, 2) as cpu, user_id * 37.0::double as rss, row_number() over (order by ts, event_id) - 1 as i, (select count(*) from events) as n from events),
+        p as (select min(i) * 2 as t, max(cpu) as top, floor(avg(rss) / 1024 * 10 + 0.5) as rss from e group by i // greatest(1, cast(ceil(n / 120.0) as bigint)))
+        select (select count(*) from e) as samples, (select case when count(*) * 2 >= 3600 then cast(cast(floor(count(*) * 2 / 3600.0 + 0.5) as bigint) as varchar) || 'h' when count(*) * 2 >= 60 then cast(cast(floor(count(*) * 2 / 60.0 + 0.5) as bigint) as varchar) || ' min' else cast(count(*) * 2 as varchar) || 's' end from e) as duration_label,
+            (select floor(avg(cpu) * 100 + 0.5) / 100 from e) as cpu_avg, (select floor(max(cpu) * 100 + 0.5) / 100 from e) as cpu_peak, (select floor(avg(rss) / 1024 * 10 + 0.5) / 10 from e) as rss_avg, (select floor(max(rss) / 1024 * 10 + 0.5) / 10 from e) as rss_peak,
+            cast(count(*) as integer) as points, string_agg(cast(t as bigint) || ':' || cast(trunc(floor(top * 100 + 0.5) / 100 * 100) as bigint) || ':' || cast(rss as bigint), ',' order by t) as chart from p""",
     "tick_metrics": f"select t.tick, count(*) as fetched, coalesce(any_value(k.fresh), 0) as fresh from {_T} t left join (select tick, count(*) as fresh from {_KEPT} k group by tick) k on k.tick = t.tick group by t.tick",
     "closed_windows": f"select pipeline, window_start from (select *, max(window_start) over (partition by pipeline) as active from {_W} w) where window_start <> active",
 }

@@ -80,6 +80,11 @@ class ParquetSink(Layered):
             df = df.withColumn(name, F.lit(value))
         df.write.mode("append").partitionBy("pipeline", "date", "hour").parquet(self.path)
 
+    def land(self, df: DataFrame, pipeline: str, ts: str) -> None:
+        """The same for rows that are a DataFrame already: each goes to the hour of its timestamp `ts` (without zone)."""
+        at = df.select(*self.schema.names, F.lit(checked_name(pipeline, "pipeline")).alias("pipeline"), F.date_format(ts, "yyyy-MM-dd").alias("date"), F.date_format(ts, "HH").alias("hour"))
+        at.repartition("date").write.mode("append").partitionBy("pipeline", "date", "hour").parquet(self.path)
+
     def flush(self) -> None:
         pass
 

@@ -36,6 +36,6 @@ def parsed(lines: DataFrame, schema: StructType, line: str = "line", required: l
     return got.select(*lines.columns, ok.alias("ok"), *[F.col(f"_r.`{f.name}`").alias(f.name) for f in schema.fields])
 
 
-def closed(segments: DataFrame, active_window: int) -> DataFrame:
-    """Segments that nothing is appended to any more."""
+def closed(segments: DataFrame, active_window: int | Column) -> DataFrame:
+    """Segments that nothing is appended to any more; the active window is one for all, or a column."""
     return segments.where(F.col("window_start") != active_window)

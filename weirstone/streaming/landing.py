@@ -30,6 +30,10 @@ class Landing:
         ticks = [int(name.split(".")[0]) for _, _, names in os.walk(os.path.join(self.folder, "ticks")) for name in names if name.endswith(".jsonl")]
         return max(ticks, default=0)
 
+    def any(self) -> bool:
+        """Whether any tick has landed."""
+        return self._last_tick() > 0
+
     def land(self, rows: list[dict], now: float) -> int:
         """Makes a successful poll durable; its tick number."""
         tick = self.next_tick

@@ -6,10 +6,10 @@ import logging
 import signal
 import threading
 import time
-from collections.abc import Callable, Hashable
+from collections.abc import Callable, Hashable, Iterator
 from dataclasses import dataclass, field
 
-from weirstone.model import WindowMeta
+from weirstone.model import SignalSetupError, WindowMeta
 from weirstone.sinks import Sink
 from weirstone.sources.collector import Collector
 
@@ -35,6 +35,21 @@ class ConsecutiveKeys:
         return out
 
 
+def ticks(stop: threading.Event, interval_s: float, clock: Callable[[], float], wait: Callable[[threading.Event, float], bool] | None = None) -> Iterator[int]:
+    """1, 2, ... at once and on every interval until `stop`. Ticks don't drift by the time they take; those missed by a tick that took too long are left out."""
+    due, n = clock(), 0
+    while not stop.is_set():
+        n += 1
+        yield n
+        due += interval_s
+        late = clock() - due
+        if late > 0 and interval_s > 0:
+            due += -(-late // interval_s) * interval_s
+        pause = max(0.0, due - clock())
+        if wait(stop, pause) if wait else stop.wait(pause):
+            return
+
+
 @dataclass
 class Pipeline:
     """Polls a collector into a sink until told to stop; errors of either don't end it."""
@@ -79,10 +94,8 @@ class Pipeline:
         """Replays what a former run left, then ticks at once and on the interval, then drains."""
         self._flush("startup")
         keys = ConsecutiveKeys(self.key)
-        while not stop.is_set():
+        for _ in ticks(stop, self.interval_s, self.clock, self.wait):
             self.tick(keys)
-            if self.wait(stop, self.interval_s) if self.wait else stop.wait(self.interval_s):
-                break
         self._flush("final")
 
 
@@ -136,8 +149,11 @@ class Supervisor:
         """Runs all until `stop` is set (also by SIGTERM or SIGINT, with signals) or all have ended; a report for each."""
         stop = stop or threading.Event()
         if signals:
-            for s in (signal.SIGTERM, signal.SIGINT):
-                signal.signal(s, lambda *_: stop.set())
+            try:
+                for s in (signal.SIGTERM, signal.SIGINT):
+                    signal.signal(s, lambda *_: stop.set())
+            except (ValueError, OSError) as e:
+                raise SignalSetupError(str(e)) from e
         outs = [Outcome() for _ in self.factories]
         threads = [threading.Thread(target=self._keep, args=(f, stop, o), daemon=True) for f, o in zip(self.factories, outs)]
         for t in threads:
