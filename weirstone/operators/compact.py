@@ -1,13 +1,14 @@
 """Problem 5: many tiny files into fewer, well-sized ones, every stored record exactly once.
 
-1. `frozen` reads the stored files (`status = 200`) once and keeps their lines, parsed, in a table of the shared folder, with
-   the size and checksum of each file: the frozen manifest. All that follows reads this table, column by column.
+1. `frozen` reads the stored files (`status = 200`) once and keeps their lines with their sample_id in a table of the shared
+   folder, with the size and checksum of each file: the frozen manifest. All that follows reads this table, column by column.
 2. `owners` finds the records with more than one line; the first line of the file with the least commit_id owns them.
 3. `packed` puts the files of each pipeline into bins by first-fit decreasing, within chunks of neighbouring windows, so that
    no task sees the whole manifest. A bin's room is `target_bytes` of output: sizes are those of the files times the ratio
    at which the frozen table was compressed.
-4. `compacted` writes each bin's records once into a staging folder, compares count and checksum of whole records with what
-   manifest and owners promise, and that of all lines with a second reading of the source, and commits by one rename.
+4. `compacted` writes each bin's records once into a staging folder, compares count and checksum of the records with what
+   manifest and owners promise, their columns with their lines, and all lines with a second reading of the source, and commits
+   by one rename. Only lines are shuffled; the columns read from them are made where they are written.
 
 Defined results: a record is a complete JSON line with a `sample_id`; blank and cut-off lines, empty and null content
 give none; a record is kept as its original line, with all keys, beside the four columns read from it; of the lines of a
@@ -27,8 +28,7 @@ from weirstone.shared import dimension, shared_path, written
 TARGET_BYTES = 64 << 20
 CHUNK_BINS = 16
 CHUNK_FILES = 50_000
-WHOLE = ("sample_id", "station_id", "timestamp", "value", "line")
-RECORD = "sample_id string, station_id string, timestamp string, value double"
+FIELDS = "station_id string, timestamp string, value double"
 
 
 def stored(commits: DataFrame) -> DataFrame:
@@ -42,10 +42,10 @@ def _lines(files: DataFrame, *keep: str) -> DataFrame:
 
 
 def frozen(commits: DataFrame) -> DataFrame:
-    """commit_id, window_id, bytes, checksum (of the file), pos, line, sample_id (null: no record), station_id, timestamp, value of every line, kept as a table; each file has a row of pos 0 or null."""
+    """commit_id, window_id, bytes, checksum (of the file), pos, line, sample_id (null: no record) of every line, kept as a table; each file has a row of pos 0 or null."""
     files = stored(commits).select("commit_id", "window_id", "content", F.coalesce(F.length("content"), F.lit(0)).cast("bigint").alias("bytes"), F.xxhash64("content").alias("checksum"))
-    rows = _lines(files, "commit_id", "window_id", "bytes", "checksum").withColumn("r", F.from_json("line", RECORD))
-    return written(rows.select("commit_id", "window_id", "bytes", "checksum", "pos", "line", F.expr("try_cast(r.sample_id as bigint)").alias("sample_id"), "r.station_id", "r.timestamp", "r.value"), "frozen")
+    of = F.from_json("line", "sample_id string")["sample_id"].try_cast("bigint")
+    return written(_lines(files, "commit_id", "window_id", "bytes", "checksum").withColumn("sample_id", of), "frozen")
 
 
 def records(lines: DataFrame) -> DataFrame:
@@ -135,22 +135,24 @@ def compacted(commits: DataFrame, windows: DataFrame, target: str | None = None,
     lost = owned.select("sample_id", F.explode(F.slice("at", 2, F.greatest(F.size("at") - 1, F.lit(1)))).alias("x")).select("sample_id", "x.commit_id", "x.pos")
     kept = records(lines).join(dimension(lost), ["sample_id", "commit_id", "pos"], "left_anti")
     n_bins = max(1, plan.select("pipeline", "bin").distinct().count())
-    out = kept.select("commit_id", *WHOLE).join(dimension(plan.select("commit_id", "pipeline", "bin")), "commit_id").repartition(n_bins, "pipeline", "bin").select(*WHOLE, "pipeline", "bin")
+    moved = kept.select("commit_id", "sample_id", "line").join(dimension(plan.select("commit_id", "pipeline", "bin")), "commit_id").repartition(n_bins, "pipeline", "bin")
+    out = moved.withColumn("r", F.from_json("line", FIELDS)).select("sample_id", "r.*", "line", "pipeline", "bin")
     out.write.mode("errorifexists").option("compression", "zstd").partitionBy("pipeline", "bin").parquet(staging)
     back = spark.read.schema(out.schema).parquet(staging)
     total = lambda h: F.sum(h.cast("decimal(38,0)"))
-    whole = F.xxhash64(*WHOLE)
-    seen = back.agg(F.count("*").alias("n"), F.countDistinct("sample_id").alias("d"), total(whole).alias("c")).first()
-    owed = kept.agg(F.count("*").alias("n"), total(whole).alias("c")).first()
+    record, n_lost = F.xxhash64("sample_id", "line"), lost.count()
+    sound = F.struct("station_id", "timestamp", "value").eqNullSafe(F.from_json("line", FIELDS))
+    seen = back.agg(F.count("*").alias("n"), total(record).alias("c"), F.count(F.when(~sound, 1)).alias("bad")).first()
+    owed = records(lines).agg(F.count("*").alias("n")).first()["n"] - n_lost, kept.agg(total(record)).first()[0]
     digest = lambda rows: rows.agg(F.count("*").alias("n"), total(F.xxhash64("commit_id", "pos", "line")).alias("c")).first()
     source, held = digest(_lines(stored(commits), "commit_id")), digest(lines)
-    if source != held or (seen["n"], seen["d"], seen["c"]) != (owed["n"], owed["n"], owed["c"]):
+    if source != held or (seen["n"], seen["c"]) != owed or seen["bad"]:
         fs.delete(path_of(staging), True)
         raise RuntimeError(f"compaction differs from its manifest: {seen} written, {owed} owed; lines of the source {source}, of the manifest {held}")
     if fs.exists(path_of(target)) or not fs.rename(path_of(staging), path_of(target)):  # renaming onto a folder would move into it
         fs.delete(path_of(staging), True)
         raise RuntimeError(f"could not commit {target}: it exists or can't be renamed")
-    counts = spark.read.schema(out.schema).parquet(target).groupBy("pipeline", "bin").agg(F.count("*").alias("n_records"), total(whole).alias("checksum"))
+    counts = spark.read.schema(out.schema).parquet(target).groupBy("pipeline", "bin").agg(F.count("*").alias("n_records"), total(record).alias("checksum"))
     sources = plan.groupBy("pipeline", "bin").agg(F.count("*").alias("n_files"), F.sum("bytes").alias("bytes_in"))
     same = sources["pipeline"].eqNullSafe(counts["pipeline"]) & (sources["bin"] == counts["bin"])
     report = sources.join(counts, same, "left").select(sources["pipeline"], sources["bin"], "n_files", "bytes_in", F.coalesce("n_records", F.lit(0)).alias("n_records"), F.col("checksum").cast("string").alias("checksum"))
