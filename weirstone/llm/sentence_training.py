@@ -328,7 +328,7 @@ def train(chains: list[tuple[list[Event], list[int]]], rounds: int = ROUNDS, tra
                             total[f][t] += d * step
             step += 1
     mean = {f: [round(a - b / step, 3) if a > NEVER / 2 else NEVER for a, b in zip(w[f], total[f])] for f in w}
-    return {f: v for f, v in sorted(mean.items()) if any(v)}
+    return {f: v for f, v in sorted(mean.items()) if any(v) or f.startswith(">")}
 
 
 def fitted(sample: list[str | None], rounds: int = ROUNDS) -> dict[str, list[float]]:
