@@ -4,10 +4,11 @@ Every period of a station is first published when `grace_s` have passed since it
 until `cutoff_s`; what comes later is counted but changes nothing. Lag is `window_end` of the batch minus the end of
 the period.
 
-Readings are laid out by (station, span of event time), repeats are dropped there, and rows shrink to one partial per
-period and batch before they reach Python. There each span's partials enter a finger B-tree in order of arrival. Once the
-cut-off has closed all of a day (UTC), its figures are read off the inner partials by one range query, and the day is
-evicted in bulk. Which of the statuses a reading has follows from its lag alone; the tree gives the figures.
+Readings are laid out by (station, span of event time), repeats are dropped there, and rows shrink to one partial of what
+was on time per period, and one per period and late batch, before they reach Python. There each span's partials enter a
+finger B-tree in order of arrival. Once the cut-off has closed all of a day (UTC), its figures are read off the inner
+partials by one range query, and the day is evicted in bulk. Which of the statuses a reading has follows from its lag alone;
+the tree gives the figures.
 
 Defined results: rows without an instant or a value don't count; repeats (within 3 s of a row with a smaller
 sample_id) are left out; a null window_end or pipeline rule makes a reading on time.
@@ -90,10 +91,13 @@ def hourly(samples: DataFrame, stations: DataFrame, windows: DataFrame, pipeline
     rows = readable(samples, stations).select("sid", "pipeline", "t_us", "sample_id", "value", "window_id")
     rows = with_halo(rows, SPAN_US, WITHIN_US).repartition("sid", "shard")
     kept = marked(rows).where("core and not repeat and value is not null")
-    kept = kept.join(ends, "window_id", "left")
+    kept = kept.join(ends, "window_id", "left").join(rules, "pipeline", "left")
     period = F.floor(F.col("t_us") / (PERIOD_S * 1_000_000)) * PERIOD_S
-    parts = kept.groupBy("sid", "shard", "pipeline", period.alias("period"), "arrived").agg(F.count("*").alias("n"), F.sum("value").alias("total"), F.min("value").alias("low"), F.max("value").alias("high"))
-    parts = parts.join(rules, "pipeline", "left").select("sid", "shard", "period", "arrived", "n", "total", "low", "high", "grace_s", "cutoff_s")
+    # what is on time comes before the cut-off can close anything of its period, so it may come as one partial, with its last batch
+    on_time = (F.col("arrived") - period - PERIOD_S <= F.col("grace_s")) & (F.col("grace_s") <= F.col("cutoff_s"))
+    batch = F.when(on_time, F.lit(-1).cast("bigint")).otherwise(F.col("arrived"))
+    parts = kept.groupBy("sid", "shard", period.alias("period"), "grace_s", "cutoff_s", batch.alias("batch")).agg(F.max("arrived").alias("arrived"), F.count("*").alias("n"), F.sum("value").alias("total"), F.min("value").alias("low"), F.max("value").alias("high"))
+    parts = parts.select("sid", "shard", "period", "arrived", "n", "total", "low", "high", "grace_s", "cutoff_s")
     raw = parts.groupBy("sid", "shard").applyInPandas(_span, RAW)
     mean = lambda of: (F.round(f"total_{of}", 6) / F.col(f"n_{of}")).alias(f"mean_{of}")
     return raw.select("sid", "period_start", "n_first", mean("first"), "n_final", mean("final"), "min_final", "max_final", "n_corrected", "n_cut_off", "n_day", mean("day"), "min_day", "max_day")
