@@ -93,8 +93,8 @@ def test_odd_input(spark, stations):
 
 
 def test_long_gaps(spark):
-    rows = [(1, 60, 0, 1.0), (1, 60, 253_402_300_000_000_000, 2.0), (2, 60, 0, 1.0), (2, 60, 60_000_000 * 9000, 2.0)]
+    rows = [(1, 60, 0, 1.0), (1, 60, 16_725_225_600_000_000, 2.0), (2, 60, 0, 1.0), (2, 60, 60_000_000 * 9000, 2.0)]
     grid = regular_grid(spark.createDataFrame(rows, READ), shard_slots=16)
-    assert grid.where("sid = 1").limit(5).count() == 5  # of four thousand million slots
+    assert grid.where("sid = 1").limit(5).count() == 5  # of 279 million slots, none of whose arrays is long
     short = grid.where("sid = 2")
     assert short.count() == 9001 == short.select("slot_start").distinct().count() and short.where("status = 'gap' and value is null").count() == 8999
