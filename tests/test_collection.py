@@ -444,6 +444,38 @@ def test_stream_equals_batch(spark, tmp_path):
     assert len(got) == len(want) and set(got) == want
 
 
+def _streamed(spark, root, df, parts, keys):
+    """What the stream keeps of df, a micro-batch for each range of ticks, and the number of its states after each."""
+    states = []
+    for lo, hi in parts:
+        df.where(f"tick >= {lo} and tick < {hi}").write.mode("append").parquet(f"{root}/in")
+        stream = consecutive_stream(spark.readStream.schema(df.schema).parquet(f"{root}/in"), keys)
+        q = stream.writeStream.format("parquet").option("path", f"{root}/out").option("checkpointLocation", f"{root}/cp").trigger(availableNow=True).start()
+        q.awaitTermination()
+        states += [p.stateOperators[0].numRowsTotal for p in q.recentProgress]
+    return sorted(map(repr, spark.read.schema(df.schema).parquet(f"{root}/out").collect())), states
+
+
+def test_stream_keys_share_states(spark, tmp_path):
+    """Calls and states grow with buckets, not with keys, and each part is one micro-batch."""
+    rows = [(t, 1000 * t + j, i, "ab"[i % 2]) for t in range(1, 10) for j, i in enumerate(i for i in range(900) if (t * 7 + i * i) % 11 < 6)]
+    df = spark.createDataFrame(rows, "tick bigint, pos bigint, u bigint, s string")
+    got, states = _streamed(spark, tmp_path, df, [(1, 5), (5, 6), (6, 10)], ["u", "s"])
+    assert len(states) == 3 and max(states) <= 256
+    assert got == sorted(map(repr, dedupe.consecutive(df, ["u", "s"]).collect())) and 0 < len(got) < len(rows)
+
+
+def test_stream_keeps_longs_whole(spark, tmp_path):
+    """Longs beyond 2**53 stay whole beside nulls, of keys and of other columns, also in a micro-batch that keeps few rows; nulls and -0.0 are keys as in batch."""
+    big = 1 << 60
+    who = lambda i: (None if i % 97 == 0 else big + i // 2, (None, "a", "b")[i % 3], (0.0, -0.0)[i % 2])
+    keys = lambda t: range(300) if t < 4 else range(302 + t)
+    rows = [(t, big + 1000 * t + j, *who(i), None if i % 5 == 0 else big + i) for t in range(1, 7) for j, i in enumerate(keys(t))]
+    df = spark.createDataFrame(rows, "tick bigint, pos bigint, u bigint, s string, x double, v bigint")
+    got, _ = _streamed(spark, tmp_path, df, [(1, 3), (3, 4), (4, 5), (5, 7)], ["u", "s", "x"])
+    assert got == sorted(map(repr, dedupe.consecutive(df, ["u", "s", "x"]).collect())) and 0 < len(got) < 400
+
+
 def test_landing_to_parquet(spark, tmp_path):
     land = Landing(str(tmp_path / "l"), "rain")
     schema = StructType([StructField("id", LongType())])
